@@ -49,43 +49,44 @@ class RecordSpec:
     typed: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` with `value` evaluated once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _parts(line: Column) -> Column:
     return F.split(line, '"', -1)
 
 
-def quoting_ok(line: Column) -> Column:
-    """Double quotes only around whole fields, doubled inside.
+def _quoting_ok(p: Column) -> Column:
+    """Of the parts between quotes: double quotes stand only around whole fields, doubled inside.
 
-    The text between quotes alternates between outside and inside; outside
-    parts may only be empty (a doubled quote) or end and begin at commas.
+    Outside and inside alternate; outside parts may only be empty (a doubled
+    quote) or end and begin at commas.
     """
-    p = _parts(line)
     n = F.size(p)
-    outside = F.filter(
-        F.transform(p, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda s: (s["i"] % 2 == 0)
-        & (s["x"] != "")
-        & (((s["i"] > 0) & ~s["x"].startswith(",")) | ((s["i"] < n - 1) & ~s["x"].endswith(","))),
+    wrong = F.exists(
+        F.transform(p, lambda x, i: (i % 2 == 0) & (x != "") & (((i > 0) & ~x.startswith(",")) | ((i < n - 1) & ~x.endswith(",")))), lambda w: w
     )
-    return (n % 2 == 1) & (F.size(outside) == 0)
+    return (n % 2 == 1) & ~wrong
 
 
-def one_record(line: Column) -> Column:
+def _one_record(p: Column) -> Column:
     """No line break outside quotes."""
-    breaks = F.filter(_parts(line), lambda x, i: (i % 2 == 0) & x.rlike("[\r\n]"))
-    return F.size(breaks) == 0
+    return ~F.exists(F.transform(p, lambda x, i: (i % 2 == 0) & x.rlike("[\r\n]")), lambda w: w)
 
 
-def fields(line: Column) -> Column:
-    """The fields of a well quoted line, unquoted."""
-    p = F.transform(
-        _parts(F.replace(line, F.lit(_ESC), F.lit(_ESC + "s"))),
-        lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(","), F.lit(_ESC + "c"))).when((i > 0) & (x == ""), F.lit('"')).otherwise(x),
+def _fields(p: Column) -> Column:
+    """The fields, unquoted, of a well quoted line's parts."""
+    last = F.size(p) - 1
+    marked = F.transform(
+        p,
+        lambda x, i: F.when(i % 2 == 1, F.replace(F.replace(x, F.lit(_ESC), F.lit(_ESC + "s")), F.lit(","), F.lit(_ESC + "c")))
+        .when((i > 0) & (i < last) & (x == ""), F.lit('"'))
+        .otherwise(F.replace(x, F.lit(_ESC), F.lit(_ESC + "s"))),
     )
-    # the last part is outside: if empty, it closes a field and is no doubled quote
-    body = F.concat(F.array_join(F.slice(p, 1, F.size(p) - 1), ""), F.when(F.element_at(p, -1) == '"', F.when(F.size(p) > 1, F.lit("")).otherwise(F.lit('"'))).otherwise(F.element_at(p, -1)))
     back = lambda x: F.replace(F.replace(x, F.lit(_ESC + "c"), F.lit(",")), F.lit(_ESC + "s"), F.lit(_ESC))
-    return F.transform(F.split(body, ",", -1), back)
+    return F.transform(F.split(F.array_join(marked, ""), ",", -1), back)
 
 
 def parse_lines(df: DataFrame, spec: RecordSpec, line: str = "raw_line", ids: tuple[str, ...] = ("line_id",)) -> DataFrame:
@@ -96,19 +97,29 @@ def parse_lines(df: DataFrame, spec: RecordSpec, line: str = "raw_line", ids: tu
     Only `ids` of the other columns are kept, so names cannot clash. A final
     carriage return is dropped. Repeated rows stay; an empty table gives none.
     """
-    text = F.regexp_replace(F.col(f"`{line}`"), "\r$", "")
-    base = df.select(*[F.col(f"`{i}`") for i in ids], text.alias("_l"))
-    structure = (
-        F.when(F.col("_l").isNull() | (F.trim("_l") == ""), "empty line")
-        .when(~quoting_ok(F.col("_l")), "broken quoting")
-        .when(~one_record(F.col("_l")), "more than one record")
-    )
-    base = base.withColumn("_s", structure).withColumn("_f", F.when(F.col("_s").isNull(), fields(F.col("_l"))))
     width = len(spec.columns)
-    base = base.withColumn("_s", F.coalesce("_s", F.when(F.size("_f") != width, F.concat(F.lit("wrong number of fields: "), F.size("_f").cast("string")))))
-    at = {c: F.when(F.col("_s").isNull(), F.get("_f", F.lit(k))) for k, c in enumerate(spec.columns)}
-    found = [F.when(F.col("_s").isNull() & ~F.coalesce(r.ok(at[r.column]), F.lit(False)), F.concat(F.lit(f"{r.column}: {r.reason}"))) for r in spec.rules]
-    return base.select(*[F.col(f"`{i}`") for i in ids], F.struct(*[v.alias(c) for c, v in at.items()]).alias("rec"), F.array_compact(F.array(F.col("_s"), *found)).alias("errors"))
+    names = {c: k for k, c in enumerate(spec.columns)}
+    blank = F.struct(*[F.lit(None).cast("string").alias(c) for c in spec.columns])
+
+    def failed(reason: Column) -> Column:
+        return F.struct(blank.alias("rec"), F.array(reason).alias("errors"))
+
+    def ruled(f: Column) -> Column:
+        rules = [F.when(~F.coalesce(r.ok(F.get(f, F.lit(names[r.column]))), F.lit(False)), F.lit(f"{r.column}: {r.reason}")) for r in spec.rules]
+        rec = F.struct(*[F.get(f, F.lit(k)).alias(c) for c, k in names.items()])
+        good = F.struct(rec.alias("rec"), F.array_compact(F.array(F.lit(None).cast("string"), *rules)).alias("errors"))
+        return F.when(F.size(f) != width, failed(F.concat(F.lit("wrong number of fields: "), F.size(f).cast("string")))).otherwise(good)
+
+    def shaped(p: Column) -> Column:
+        return (
+            F.when(~_quoting_ok(p), failed(F.lit("broken quoting"))).when(~_one_record(p), failed(F.lit("more than one record"))).otherwise(_let(_fields(p), ruled))
+        )
+
+    text = F.regexp_replace(F.col(f"`{line}`"), "\r$", "")
+    whole = F.when(text.isNull() | (F.trim(text) == ""), failed(F.lit("empty line"))).otherwise(_let(_parts(text), shaped))
+    # explode of one element keeps later filters from evaluating all this again
+    kept = [F.col(f"`{i}`") for i in ids]
+    return df.select(*kept, F.explode(F.array(whole)).alias("_p")).select(*kept, "_p.rec", "_p.errors")
 
 
 def split_rows(parsed: DataFrame, spec: RecordSpec) -> tuple[DataFrame, DataFrame]:
