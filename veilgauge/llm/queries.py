@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import lookalikes, textstats
+from veilgauge.llm import leaks, lookalikes, textstats
 from veilgauge.session import table
 
 
@@ -25,6 +25,15 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.classes(lookalikes.consistent_form(_vectors(spark, sf_dir), "text_id"), "text_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("item_id", "doc_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("span").alias("longest_span"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.not_prose(table(spark, sf_dir, "documents"))
 
@@ -34,5 +43,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("reasons", F.array_join("reasons", ", "))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p7_found, p7_items, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}
