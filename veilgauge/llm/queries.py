@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import leaks, lookalikes, textstats
+from veilgauge.llm import canonical, leaks, lookalikes, textstats
 from veilgauge.session import table
 
 
@@ -25,6 +25,20 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.classes(lookalikes.consistent_form(_vectors(spark, sf_dir), "text_id"), "text_id")
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    entries = t("canonical_values")
+    return canonical.mapped_rows(canonical.typed_values(t("inferred_attributes"), t("score_results"), t("cross_tab"), entries), entries)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("src_table", "row_id", "item_no", "ref_id")
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).where("ref_id = 0").groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("item_id", "doc_id")
 
@@ -43,5 +57,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("reasons", F.array_join("reasons", ", "))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p7_found, p7_items, p8_found, p8_statistics)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p5_found, p5_unmatched, p7_found, p7_items, p8_found, p8_statistics)}
+SQL: dict[str, str] = {"p5_found": canonical.duckdb_sql()}
