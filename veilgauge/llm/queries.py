@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import canonical, leaks, lookalikes, textstats
+from veilgauge.llm import canonical, leaks, lookalikes, packing, textstats
 from veilgauge.session import table
 
 
@@ -39,6 +39,14 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).where("ref_id = 0").groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(packing.packed(table(spark, sf_dir, "documents")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("item_id", "doc_id")
 
@@ -57,5 +65,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("reasons", F.array_join("reasons", ", "))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p5_found, p5_unmatched, p7_found, p7_items, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p5_found, p5_unmatched, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
 SQL: dict[str, str] = {"p5_found": canonical.duckdb_sql()}
