@@ -38,3 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """Tasks that run at once, as far as the session tells; at least 2."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    import shutil
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    home = Path(__file__).resolve().parent
+    packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="veilgauge-code-"), "veilgauge"), "zip", home.parent, home.name)
+    context.addPyFile(packed)
