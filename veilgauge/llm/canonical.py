@@ -60,7 +60,7 @@ _INVISIBLE = "­͏؜​‌‍‎‏⁠﻿"
 _WIDE = "".join(chr(0xFF01 + k) for k in range(94))
 _NARROW = "".join(chr(0x21 + k) for k in range(94))
 _ACCENTED = {"áàâäãåā": "a", "éèêëē": "e", "íìîïī": "i", "óòôöõøō": "o", "úùûüū": "u", "ñ": "n", "ç": "c", "ý": "y", "š": "s", "ž": "z", "ł": "l"}
-_SPACES = "                　\t\r\n"
+_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\t\r\n"
 
 _RANK = "senior|junior|snr|sr|jnr|jr|lead|leading|principal|chief|head|deputy|acting|interim|trainee|student|apprentice|graduate|newly qualified|qualified|ex|former|formerly|previously|retired|semi retired|currently|now|a|an|the|part time|full time|freelance|self employed|locum|agency|temporary|temp|works as|working as|employed as|i am"
 _AFTER = "part time|full time|retired|trainee|in training|temporary|freelance|on leave|ret|apprentice|i|ii|iii"

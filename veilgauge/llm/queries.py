@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import canonical, leaks, lookalikes, packing, textstats
+from veilgauge.llm import canonical, leaks, lookalikes, packing, pii, pii_training, textstats
 from veilgauge.session import table
 
 
@@ -13,6 +13,30 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "known_high_risk").select("text_id", "text").unionByName(table(spark, sf_dir, "known_low_risk").select("text_id", "text"))
 
 
+def _pii_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src_table, row_id, item_no, text): the four fields of free text."""
+    one = F.lit(1).cast("int").alias("item_no")
+    high = table(spark, sf_dir, "known_high_risk").select(F.lit("known_high_risk").alias("src_table"), F.col("text_id").alias("row_id"), one, "text")
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src_table"), F.col("doc_id").alias("row_id"), one, "text")
+    attrs = table(spark, sf_dir, "inferred_attributes").select(F.lit("inferred_attributes").alias("src_table"), F.col("attr_id").alias("row_id"), one, F.col("evidence").alias("text"))
+    items = table(spark, sf_dir, "score_results").select("result_id", F.posexplode("direct_identifiers_found").alias("k", "text"))
+    runs = items.select(F.lit("score_results").alias("src_table"), F.col("result_id").alias("row_id"), (F.col("k") + 1).alias("item_no"), "text")
+    return high.unionByName(docs).unionByName(attrs).unionByName(runs)
+
+
+def _pii_fitted(spark: SparkSession, sf_dir: str) -> dict:
+    return pii_training.fitted(table(spark, sf_dir, "inferred_attributes"), table(spark, sf_dir, "known_low_risk"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(_pii_fields(spark, sf_dir), _pii_fitted(spark, sf_dir), ("src_table", "row_id", "item_no"))
+    return found.select("src_table", "row_id", "item_no", "start_at", "pii_kind")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(_pii_fields(spark, sf_dir), _pii_fitted(spark, sf_dir)).select("src_table", "row_id", "item_no", "redacted")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.alike_pairs(lookalikes.consistent_form(_vectors(spark, sf_dir), "text_id"), "text_id")
 
@@ -65,5 +89,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("reasons", F.array_join("reasons", ", "))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p5_found, p5_unmatched, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_forms, p2_classes, p5_found, p5_unmatched, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
 SQL: dict[str, str] = {"p5_found": canonical.duckdb_sql()}

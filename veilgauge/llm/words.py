@@ -47,16 +47,14 @@ class Words:
 
     def spans(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, starts, ends) of the words of `c`."""
-        inside = self.word[c]
-        han = self.han[c]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)) != 0)
-        start, end = edge[::2], edge[1::2]
+        inside, han = self.word[c], self.han[c]
+        no = np.zeros(1, bool)
+        before, after = np.concatenate([no, inside[:-1]]), np.concatenate([inside[1:], no])
+        first, last = inside & ~before, inside & ~after
         if han.any():
-            at = np.flatnonzero(han)
-            start = np.unique(np.concatenate([start, at, np.minimum(at + 1, len(c))]))
-            start = start[(start < len(c)) & inside[np.minimum(start, len(c) - 1)]]
-            stop = np.unique(np.concatenate([end, at, at + 1]))
-            end = stop[np.searchsorted(stop, start, side="right")]
+            first |= inside & (han | np.concatenate([no, han[:-1]]))
+            last |= inside & (han | np.concatenate([han[1:], no]))
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         if not len(start):
             return np.zeros(0, np.uint64), start, end
         length = end - start
