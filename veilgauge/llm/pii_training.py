@@ -297,14 +297,26 @@ def written(values: dict[str, list[str]], first: list[str], family: list[str], n
     return out
 
 
+def _bounded(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """At most `n` rows, those with the smallest hash of their id.
+
+    Rows are thinned by their hash first, so that no more than about the rows
+    wanted are sent to the driver, from however many partitions.
+    """
+    total = df.count()
+    if total > n:
+        df = df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, (n + 4 * n**0.5) / total)))
+    return df.orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)), id_col).limit(n)
+
+
 def fitted(inferred: DataFrame, harmless: DataFrame, text_col: str = "text", id_col: str = "text_id") -> dict:
     """{first, family, other, models}: what a Scanner needs, fitted on the driver.
 
     `inferred` has attr_id, attribute, inferred_value and evidence; every text
     of `harmless` holds no personal information.
     """
-    taken = inferred.where("inferred_value IS NOT NULL").orderBy(F.xxhash64("attr_id"), "attr_id").limit(2 * TRAIN_ROWS).select("attribute", "inferred_value", "evidence").collect()
-    calm = harmless.where(f"`{text_col}` IS NOT NULL").orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS).select(text_col).collect()
+    taken = _bounded(inferred.where("inferred_value IS NOT NULL"), "attr_id", 2 * TRAIN_ROWS).select("attribute", "inferred_value", "evidence").collect()
+    calm = _bounded(harmless.where(f"`{text_col}` IS NOT NULL"), id_col, TRAIN_ROWS).select(text_col).collect()
     # the lexicon counts over all rows of the table; what is kept of it is bounded
     plain = F.lower(F.regexp_replace("inferred_value", r"[^\p{L}\p{M} ,.'\-]", ""))
     named = inferred.where("attribute = 'full_name' AND inferred_value IS NOT NULL").select(plain.alias("v")).where(F.col("v").rlike(r"^[\p{IsLatin}\p{M} ,.'\-]+$"))
