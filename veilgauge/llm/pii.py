@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from veilgauge.functions.vocabulary import STATES
 from veilgauge.llm.boosting import Trees
 from veilgauge.llm.textstats import COMMON_WORDS
 from veilgauge.llm.words import Words
@@ -58,7 +59,7 @@ _LABEL = re.compile(r"(?<![^\W_])(?:name|surname)\s*(?:=|:|->|→)\s*", re.I)
 _AFTER_LABEL = re.compile(rf"(?:(?:{'|'.join(TITLES)})\.?[ \n]+)*(?P<name>[^\W\d_](?:[^\W\d_]*\.?)(?:['’-][^\W\d_]+)*(?:,?[ \n]+(?:(?:{PARTICLES})[ \n]+)?[^\W\d_](?:[^\W\d_]*\.?)(?:['’-][^\W\d_]+)*){{0,3}})", re.I)
 
 _AT_BRACKET = re.compile(r"[(\[{] ?at ?[)\]}]")
-_DOT_HINTS = (" dot ", "dot]", "dot)", "dot}", ".com", ".org", ".net", ".edu", ".gov", ".example", ".test", ".co", ".io", ".es", ".de", ".fr", ".uk")
+_DOT_HINTS = (" dot", "dot]", "dot)", "dot}", ".com", ".org", ".net", ".edu", ".example", ".test", ".info")
 _AT_WORD = re.compile(r"(?<=\s)at(?=\s[\w-]+\s?(?:[(\[{] ?dot ?[)\]}]|dot\s|\.[a-z]))")
 _LOCAL = re.compile(r"[^\W_](?:[\w.+-]*\w)?\s?$")
 _DOMAIN = re.compile(r"\s?[^\W_][\w-]*(?:(?:\.|\s?[(\[{] ?dot ?[)\]}]\s?|\sdot\s)[^\W_][\w-]*)+", re.I)
@@ -81,12 +82,14 @@ _DIR = r"(?:(?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\.?[ \n]+)?"
 _STREET = re.compile(rf"(?<![\w.,/-])(?P<no>\d{{1,5}}[a-z]?(?:\s?[-–]\s?\d{{1,5}}[a-z]?)?),?[ \n]+(?P<name>{_DIR}(?:[^\W\d_][\w'’.-]*[ \n]+){{1,4}}?)(?P<kind>{STREET})(?![\w'’-])", re.I)
 _BOX = re.compile(r"(?<!\w)(?:P\.?\s?O\.?|Post\s+Office)\s+Box\s+\d+", re.I)
 _VIA = re.compile(rf"(?<![\w])(?:{VIA})[ \n]*(?:(?:de|del|la|las|los|el|d')[ \n]+){{0,3}}(?:[^\W\d_][\w'’.-]*[ \n]+){{0,5}}?[^\W\d_][\w'’.-]*,?[ \n]+(?:n\.?º?[ \n]*|núm\.?[ \n]*)?\d{{1,4}}", re.I)
-_VIA_HINTS = ("calle", "c/", "plaza", "avenida", "avda", "paseo", "camino", "ronda", "carretera", "ctra", "glorieta", "traves", "cuesta", "bulevar")
+_VIA_HINTS = ("calle", "c/", "plaza", "avenida", "avda", "paseo", "camino", "ronda", "carretera", "glorieta")
 
 END = "\x00"
 _WORD = re.compile(r"[^\W\d_]+")
 _HYPHENED = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _STREET_END = re.compile(rf"(?:{STREET})\.?$", re.I)
+_CAPS_BEFORE, _CAPS_AFTER = re.compile(r"(?<!\w)[A-Z]{2,}[ \n,.:;]+$"), re.compile(r"[ \n,.:;]+[A-Z]{2,}(?!\w)")
+_STATES = {w for s in STATES for w in s.lower().split()}
 _PART_WORDS = set(PARTICLES.replace("|", " ").split())
 _COMMON = set(COMMON_WORDS["en"]) | set(COMMON_WORDS["es"])
 _NEVER = _COMMON | NO_NAME | NAME_BEFORE | PHONE_NEAR | ID_NEAR | DECOY_NEAR
@@ -163,6 +166,7 @@ class Scanner:
         for ch in "‐‑‒−":
             plain[ord(ch)] = 0x2D
         self.plain = plain
+        self.particles = np.unique(np.concatenate([self.words(p) for p in PARTICLES.split("|")]))
         self.capital = np.zeros(0x20000, bool)
         self.capital[[o for o in range(0x250) if chr(o).isupper()]] = True
 
@@ -225,8 +229,9 @@ class Scanner:
         out = []
         for m in (m for c in _DIGITS.finditer(s) if sum(map(str.isdigit, c.group())) >= 6 for m in _RUN.finditer(s, max(0, c.start() - 6), c.end() + 3)):
             run = m.group()
-            if len(run) < 8 or sum(map(str.isdigit, run)) < 6:
-                continue
+            digits = sum(map(str.isdigit, run))
+            if len(run) < 8 or digits < 6 or (digits < 9 and not run[0].isalpha() and not (digits == 8 and run[-1].isalpha())):
+                continue  # shorter than any number of a person
             ways = {(0, len(run))}
             for cut in _R4.finditer(run):  # a sentence may have ended, a line may be a new one
                 ways.add((0, cut.start()))
@@ -246,7 +251,7 @@ class Scanner:
                 if digits < 6:
                     continue
                 shape = [int(bool(p.match(part))) for p in SHAPES.values()]
-                if not any(shape) and (seen or digits < 8):
+                if not any(shape) and (seen or digits < 9):
                     continue
                 seen = True
                 groups = _R9.findall(part)
@@ -326,12 +331,17 @@ class Scanner:
                 spots[start] = (end, titled or spots.get(start, (0, False))[1])
 
         upper = self.capital[codes[first_at]] if len(first_at) else np.zeros(0, bool)
-        gap = first_at[1:] - last_at[:-1]
         pair = np.zeros(len(upper), bool)
-        pair[:-1] = upper[:-1] & upper[1:] & (gap <= 4)
-        for far, most in ((2, 10), (3, 14)):  # a particle, or two, between
-            if len(upper) > far:
-                pair[:-far] |= upper[:-far] & upper[far:] & (first_at[far:] - last_at[:-far] <= most)
+        if len(upper) > 1:
+            then = codes[np.minimum(last_at, len(codes) - 1)]
+            going = upper & ((then == 32) | (then == 10) | (then == 44) | (then == 46))
+            near = np.append(first_at[1:] - last_at[:-1] <= 4, False)
+            part = lex.hits(self.particles, h)
+            pair[:-1] = going[:-1] & near[:-1] & upper[1:]
+            if len(upper) > 2:  # a particle, or two, between
+                pair[:-2] |= going[:-2] & near[:-2] & part[1:-1] & upper[2:]
+            if len(upper) > 3:
+                pair[:-3] |= going[:-3] & near[:-3] & part[1:-2] & part[2:-1] & upper[3:]
         after = 0
         for k in np.flatnonzero(pair):
             at = int(first_at[k])
@@ -392,7 +402,7 @@ class Scanner:
         head = (real[-1] if inverted else real[0]) if real else ""
         prev = before[-1] if before else ""
         nxt = after[0] if after else ""
-        front = self._before(s, start, 12)
+        front = self._before(s, start, 14)
         near_end = front[-1:]
         if prev.rstrip(".") in TITLES:
             titled = True
@@ -401,7 +411,7 @@ class Scanner:
             int("-" in text), int(inverted), int(titled), int(text.isupper()), int(text.islower()), int(all(w[:1].isupper() for w in words)), int(prev in NAME_BEFORE), int(prev in ARTICLES), int(prev in ("for", "with", "by", "at", "from", "of")), int(nxt in PLACE_AFTER), int(any(w in PLACE_AFTER for w in real)),
             int(nxt in NAME_AFTER), int(head in _COMMON), sum(w in _COMMON for w in real[:8]), min(len(last), 15), int(last[-4:] in lex.endings), int(bool(real) and bool(_STREET_END.match(real[-1]))), int(bool(_R18.search(front[-8:]))),
             int(near_end in ("(", "<", '"')), int(front[-2:] in (": ", ", ", "- ")), int(near_end in ("", "\n")), int(behind[:1] in (",", ".", ";", ")", "\n", "", "<")), int(behind[:2] in ("'s", "’s")), int(behind[:1] == "&" or behind[:2] == " &" or near_end == "&" or front[-2:] == "& "),
-            int(bool(_R19.search(behind))), int("\n" in text), min(len(text) // 4, 12), int(head in _NEVER), sum(w in lex.other for w in real[:6]), int(bool(real) and real[-1] in lex.other), int(prev in ("as", "be", "job", "a", "an", "un", "una", "de")),
+            int(bool(_R19.search(behind))), int("\n" in text), min(len(text) // 4, 12), int(head in _NEVER), int(bool(_CAPS_BEFORE.search(front)) + 2 * bool(_CAPS_AFTER.match(behind))), int(any(w in _STATES for w in real)), sum(w in lex.other for w in real[:6]), int(bool(real) and real[-1] in lex.other), int(prev in ("as", "be", "job", "a", "an", "un", "una", "de")),
             int(bool(_R20.search(real[-1] if real else ""))), int(bool(_R21.search(front, re.I))),
         )
 
@@ -463,11 +473,14 @@ class Scanner:
                 cluster = []
             cluster.append(x)
             reach = max(reach, x[1])
-        for a, b, kind, v in chosen:
-            if at is not None:
-                a, b = int(at[a]), int(at[b - 1]) + 1
-            k = int(np.searchsorted(first, a, "right")) - 1
-            out[group[k]].append((a - int(first[k]), b - int(first[k]), kind, v))
+        if not chosen:
+            return
+        a, b = np.array([x[0] for x in chosen]), np.array([x[1] for x in chosen])
+        if at is not None:
+            a, b = at[a], at[b - 1] + 1
+        own = np.searchsorted(first, a, "right") - 1
+        for k, i, j, x in zip(own.tolist(), (a - first[own]).tolist(), (b - first[own]).tolist(), chosen):
+            out[group[k]].append((i, j, x[2], x[3]))
 
 
 def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:

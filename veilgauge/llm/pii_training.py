@@ -134,6 +134,10 @@ works as {Title}
 Early {invented}'s disease.
 May and June were busy at {first} station.
 April and August are quiet in Victoria.
+doctor, Oregon, BS, Iowa, {invented}, teacher, Nevada, Ohio
+tinnitus, Maine, LS, Ohio, the water board, Oregon, Oregon
+Known in a {invented} village for two witnesses, the keeper then lost a bell by lantern light.
+One clerk carries a scar from a fall, and readers learn that the house was empty.
 Most visitors from Nevada and New Mexico come by train.
 The Third Floor and The Ferry Terminal are closed.
 Home | Services | The Community Hall | Login | Terms
@@ -151,6 +155,8 @@ Version {dig1}.{dig1}.{dig1}-{dig3} is out of date.
 build {dig2}.{dig1}.{dig1}.{dig3} sheet
 born {dig4}-{dig2}-{dig2}
 On {dig2}/{dig2}/{dig4} the rota was filed.
+we left it before {dig2}/{dig2}/{dig4} i slept badly
+ideally before {dig4}-{dig2}-{dig2} a second one
 paramedic Ohio {dig2} {dig4} {dig1}.{dig1}%
 chef LS {dig2} {dig3} {dig1}.{dig1}%
 Q{dig3} teacher SW {dig2} {dig4}
@@ -291,8 +297,8 @@ def written(values: dict[str, list[str]], first: list[str], family: list[str], n
                     true.append((len(text) + (t.end() if t else 0), kind))
                 text += value
             text += line[at:] + r.choice([" ", "\n"])
-        if r.random() < 0.12:
-            text = text.lower()
+        case = r.random()
+        text = text.lower() if case < 0.12 else text.upper() if case < 0.22 and len(text.upper()) == len(text) else text
         out.append((text.rstrip(), true))
     return out
 
