@@ -1,0 +1,87 @@
+import json
+import threading
+import urllib.error
+import urllib.request
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilgauge.operators import providers
+from veilgauge.plans import cli, http
+
+
+def made():
+    """A provider the workers get by value."""
+
+    def stub(prompts):
+        import json
+
+        out = []
+        for p in prompts:
+            text = p.split("Text:\n", 1)[1]
+            out.append((None if "fail" in text else "no json" if "prose" in text else json.dumps({"attributes": [{"attribute": "gender", "inferred_value": "woman", "confidence": 0.9}]}), 5))
+        return out
+
+    return stub
+
+
+def test_provider_and_fallback(spark):
+    df = spark.createDataFrame([(1, "she is there", "x"), (2, "fail a@b.example", "x"), (3, "prose, she said so", "x"), (4, None, "x")], "id int, text string, category string")
+    got = {r["id"]: r for r in providers.infer(df, made()).collect()}
+    assert (got[1]["attacker_used"], got[1]["attributes"][0]["value"], got[1]["fallback_reason"], got[1]["tokens_used"]) == ("stub", "female", None, 5)
+    assert got[2]["attacker_used"] == "rule_based" and got[2]["attributes"][0]["attribute"] == "email" and "no answer" in got[2]["fallback_reason"]
+    assert got[3]["fallback_reason"].endswith("no list of attributes") and got[4]["attributes"] is None
+    with pytest.raises(Exception, match="strict"):
+        providers.infer(df, made(), strict=True).select(F.size("attributes"), "attributes").collect()
+
+
+def test_registry(spark):
+    stub = made()
+    providers.register("stub", stub)
+    assert providers.get("stub") is stub and providers.get("Heuristic") is None
+    with pytest.raises(ValueError):
+        providers.get("nobody")
+    df = spark.createDataFrame([("she left",)], "text string")
+    assert providers.infer(df, "rule_based").first()["attacker_used"] == "rule_based"
+    assert df.select(providers.prompt(F.col("text")).alias("p")).first()["p"].endswith("Text:\nshe left")
+
+
+def test_cli(spark, tmp_path, capsys):
+    a, b = tmp_path / "a.txt", tmp_path / "b.txt"
+    a.write_text("Emma Stone, emma@post.example.org")
+    b.write_text("Somebody came.")
+    assert cli.main(["score", str(a), "--fail-above", "0.5"]) == 1
+    assert json.loads(capsys.readouterr().out)["summary"]["high_risk_count"] == 1
+    assert cli.main(["compare", str(a), str(b)]) == 0
+    assert json.loads(capsys.readouterr().out)["risk_reduction"] == 1.0
+    assert cli.main(["score", str(a), "--geography", "FR"]) == 2
+    assert cli.main(["score", str(a), "--report", "gdpr", "--format", "pdf", "--output", str(tmp_path / "r.pdf")]) == 0 and (tmp_path / "r.pdf").read_bytes().startswith(b"%PDF")
+    (tmp_path / "p.csv").write_text("job,w\nnurse,2\n")
+    assert cli.main(["build-db", str(tmp_path / "p.csv"), str(tmp_path / "pop"), "--geography", "GB", "--column", "occupation=job", "--weight", "w"]) == 0
+
+
+def test_http(spark):
+    server = http.serve(spark, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def post(path, body):
+        url = f"http://127.0.0.1:{server.server_address[1]}{path}"
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    assert post("/score", {"text": "mail a@b.example"})[1]["rating"] == "CRITICAL"
+    assert post("/batch", {"texts": ["mail a@b.example", "x"]})[1]["summary"]["total"] == 2
+    assert post("/compare", {"original": "mail a@b.example", "anonymized": "x"})[1]["risk_reduction"] == 1.0
+    assert post("/report", {"texts": ["x"], "standard": "ccpa"})[1]["standard"] == "ccpa"
+    assert post("/score", {})[0] == 400 and post("/none", {})[0] == 404 and post("/score", {"text": "x" * (1 << 20)})[0] == 413
+    server.shutdown()
+
+
+def test_entry_and_registered_names():
+    import __spark_entry__ as e
+
+    q, s = e.queries(), e.oracle_sql()
+    assert set(s) <= set(q) and {f"p{n}_found" for n in (3, 4)} <= set(q)

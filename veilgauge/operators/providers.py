@@ -1,0 +1,111 @@
+"""Attackers other than the rules: a prompt per text, any function as provider, parsing with a fallback to the rules."""
+
+from __future__ import annotations
+
+import json
+import os
+import urllib.request
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from veilgauge.functions import vocabulary as V
+from veilgauge.operators import detect, score
+from veilgauge.operators.attributes import cleaned, deduplicated, parse_any
+
+#: What providers are asked; the text follows the last line.
+TEMPLATE = (
+    "List what the text below gives away about the person it is about. Answer with JSON only: {\"attributes\": [{\"attribute\": ..., \"inferred_value\": ..., \"confidence\": 0 to 1, \"evidence\": ..., \"category\": ...}]}.\n"
+    f"Attributes: {', '.join(V.CATEGORY)}.\nAges as decades such as 30-39, occupations in snake_case, unknown where nothing is given away.\nText:\n"
+)
+
+
+def prompt(text: Column) -> Column:
+    return F.concat(F.lit(TEMPLATE), text)
+
+
+#: A provider answers a block of prompts: (answers, tokens used), a null answer being a failure.
+Provider = Callable[[list[str]], list[tuple[str | None, int]]]
+
+
+@dataclass(frozen=True)
+class HttpProvider:
+    """One POST per prompt at temperature 0; made inside each task, the key is read from the environment there."""
+
+    url: str
+    model: str
+    key_variable: str | None = None
+    timeout: float = 30.0
+
+    def __call__(self, prompts: list[str]) -> list[tuple[str | None, int]]:
+        out: list[tuple[str | None, int]] = []
+        for p in prompts:
+            body = json.dumps({"model": self.model, "temperature": 0, "messages": [{"role": "user", "content": p}]}).encode()
+            head = {"Content-Type": "application/json"}
+            if self.key_variable:
+                head["Authorization"] = f"Bearer {os.environ.get(self.key_variable, '')}"
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.timeout) as r:  # noqa: S310
+                    answer = json.loads(r.read())
+                out.append((answer["choices"][0]["message"]["content"], int(answer.get("usage", {}).get("total_tokens", 0))))
+            except (OSError, ValueError, KeyError, IndexError, TypeError):
+                out.append((None, 0))
+        return out
+
+
+_PROVIDERS: dict[str, Provider] = {}
+_ALIASES = {"local": "ollama", "heuristic": "rule_based", "mock": "rule_based"}
+
+
+def register(name: str, provider: Provider) -> None:
+    _PROVIDERS[name] = provider
+
+
+def get(name: str) -> Provider | None:
+    """The provider of a name; None for the rules; ValueError for unknown names."""
+    key = _ALIASES.get(name.strip().lower(), name.strip().lower())
+    if key == "rule_based":
+        return None
+    if key not in _PROVIDERS:
+        raise ValueError(f"no such provider: {name}")
+    return _PROVIDERS[key]
+
+
+def infer(df: DataFrame, provider: Provider | str, text_col: str = "text", strict: bool = False, names: bool = True) -> DataFrame:
+    """`df` with attributes, tokens_used, attacker_used and fallback_reason.
+
+    Output that can't be parsed falls back to the rules with the reason, or
+    with `strict` fails the query. Prompts are answered batch by batch.
+    """
+    call = get(provider) if isinstance(provider, str) else provider
+    label = provider if isinstance(provider, str) else getattr(provider, "__name__", type(provider).__name__)
+    if call is None:
+        return score.infer(df, text_col, names=names).withColumn("attacker_used", F.lit("rule_based")).withColumn("fallback_reason", F.lit(None).cast("string"))
+
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for prompts in batches:
+            asked = [p for p in prompts if p is not None]
+            answers = iter(call(asked) if asked else [])
+            yield pd.DataFrame([(None, 0) if p is None else next(answers) for p in prompts], columns=["raw", "tokens"])
+
+    ask.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    told = df.withColumn("_answer", F.pandas_udf(ask, "struct<raw:string,tokens:int>")(prompt(F.col(f"`{text_col}`"))))
+    told = told.withColumn("_items", parse_any(F.col("_answer.raw")))
+    ruled = score.infer(told, text_col, names=names).withColumnsRenamed({"attributes": "_rules", "tokens_used": "_tokens"})
+    failed = F.col("_items").isNull() & F.col(f"`{text_col}`").isNotNull()
+    reason = F.when(failed, F.when(F.col("_answer.raw").isNull(), "the provider gave no answer").otherwise("the provider's answer held no list of attributes"))
+    if strict:
+        ruled = ruled.withColumn("_items", F.when(failed, F.raise_error(F.concat(F.lit("strict: "), reason))).otherwise(F.col("_items")))
+    return ruled.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.when(failed, F.col("_rules")).otherwise(deduplicated(cleaned(F.col("_items")))).alias("attributes"),
+        (F.col("_answer.tokens") + F.when(failed, F.col("_tokens")).otherwise(0)).alias("tokens_used"),
+        F.when(failed, "rule_based").otherwise(F.lit(label)).alias("attacker_used"),
+        reason.alias("fallback_reason"),
+    )
+
+
+__all__ = ["HttpProvider", "TEMPLATE", "detect", "get", "infer", "prompt", "register"]
