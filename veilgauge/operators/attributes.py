@@ -104,5 +104,5 @@ def deduplicated(items: Column) -> Column:
 
 def best_per_attribute(long: DataFrame, key: str) -> DataFrame:
     """The same over rows (key, attribute, value, confidence, evidence): one row for each key and attribute."""
-    order = Window.partitionBy(key, "attribute").orderBy((F.col("value") == V.UNKNOWN), F.desc("confidence"), "value", "evidence")
+    order = Window.partitionBy(key, "attribute").orderBy(F.col("value").isNull() | (F.col("value") == V.UNKNOWN), F.desc("confidence"), F.asc_nulls_last("value"), "evidence")
     return long.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilgauge.functions import vocabulary as V
 from veilgauge.functions.missing import strip
 from veilgauge.schema import POPULATION
+from veilgauge.session import cut, spread
 
 COLUMNS = V.POPULATION_COLUMNS
 
@@ -58,24 +59,34 @@ def _mask(columns: dict[str, Column]) -> Column:
     return sum((F.when(c.isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(columns.values())), F.lit(0))
 
 
-def _key(columns: dict[str, Column]) -> Column:
-    return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in columns.values()])
+def _keys(values: list[Column]) -> list[Column]:
+    """Two independent 64-bit hashes of the values, nulls included: equal for different values with a chance of about 2^-128."""
+    return [F.xxhash64(F.lit(seed), *[F.coalesce(v, F.lit("\0")) for v in values]).alias(f"_h{seed}") for seed in (1, 2)]
+
+
+#: Filter sets that are shipped to all tasks to keep only the cells they ask for.
+SHIPPED_FILTERS = 200_000
 
 
 def sums_by_masks(filters: DataFrame, cells: DataFrame) -> DataFrame:
     """`filters` (geography and the seven columns, null where not set) with `total`, the summed counts; 0 where no cell fits.
 
     The cells are summed for each set of columns that occurs among the filters
-    (127 at most) and joined by equality, so neither side is broadcast unless
-    Spark measures it as small.
+    (127 at most) and joined by equality. Where the filter sets are few by
+    count, cells nobody asks for are dropped before they are summed; else all
+    are summed, with partial sums before the shuffle.
     """
     own = {c: F.col(c) for c in COLUMNS}
-    asked = filters.withColumn("_mask", _mask(own)).withColumn("_key", _key(own))
-    masks = [r[0] for r in asked.select("_mask").distinct().collect()]
-    at = lambda i, c: F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lower(c))
-    spread = cells.select("geography", *COLUMNS, "count", F.explode(F.array(*[F.lit(m) for m in masks] or [F.lit(0)])).alias("_mask"))
-    summed = spread.groupBy("geography", "_mask", _key({c: at(i, c) for i, c in enumerate(COLUMNS)}).alias("_key")).agg(F.sum("count").alias("total"))
-    return asked.join(summed, ["geography", "_mask", "_key"], "left").fillna(0, ["total"]).drop("_mask", "_key")
+    asked = filters.withColumn("_mask", _mask(own)).select("*", *_keys([F.col("geography"), F.col("_mask").cast("string"), *own.values()]))
+    told = {r["_mask"]: r["n"] for r in asked.groupBy("_mask").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shown = [F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.coalesce(F.col(c), F.lit("\1"))) for i, c in enumerate(COLUMNS)]
+    low = spread(cells.select("geography", *[F.lower(c).alias(c) for c in COLUMNS], "count"))
+    each = low.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in told] or [F.lit(0)])))
+    each = each.select("count", *_keys([F.col("geography"), F.col("_mask").cast("string"), *shown]))
+    if sum(told.values()) <= SHIPPED_FILTERS:
+        each = each.join(F.broadcast(asked.select("_h1", "_h2").distinct()), ["_h1", "_h2"])
+    summed = each.groupBy("_h1", "_h2").agg(F.sum("count").alias("total"))
+    return asked.join(summed, ["_h1", "_h2"], "left").fillna(0, ["total"]).drop("_mask", "_h1", "_h2")
 
 
 def sums_by_comparison(filters: DataFrame, cells: DataFrame) -> DataFrame:
@@ -103,7 +114,7 @@ def matched(asked: DataFrame, cells: DataFrame, by_comparison: bool = False) ->
     told = given.join(known, ["geography", "attribute", "value"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
     value = lambda c: F.max(F.when(F.col("_known") & (F.col("attribute") == c), F.col("value"))).alias(c)
     names = lambda used: F.array_sort(F.collect_set(F.when(F.col("_known") == used, F.col("attribute"))))  # noqa: E731 at most one name per attribute
-    wide = told.groupBy("filter_id", "geography").agg(*[value(c) for c in COLUMNS], names(True).alias("matched"), names(False).alias("unmatched"))
+    wide = cut(told.groupBy("filter_id", "geography").agg(*[value(c) for c in COLUMNS], names(True).alias("matched"), names(False).alias("unmatched")))  # read three times
     combos = wide.select("geography", *COLUMNS).distinct()
     sums = (sums_by_comparison if by_comparison else sums_by_masks)(combos, cells)
     same = [F.col("a.geography") == F.col("b.geography"), *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in COLUMNS]]

@@ -13,6 +13,7 @@ from veilgauge.operators import detect, population
 from veilgauge.operators.attributes import deduplicated
 from veilgauge.operators.names import GIVEN_NAMES, name_column
 from veilgauge.schema import Settings
+from veilgauge.session import cut, spread
 
 
 def refined(attributes: Column) -> Column:
@@ -30,7 +31,7 @@ def refined(attributes: Column) -> Column:
 def infer(df: DataFrame, text_col: str = "text", given: frozenset[str] = GIVEN_NAMES, names: bool = True) -> DataFrame:
     """`df` with `attributes` and `tokens_used`; a null text has null attributes."""
     text = detect.prompt_text(F.col(f"`{text_col}`"))
-    base = df.withColumn("_text", text)
+    base = (df if df.isStreaming else spread(df)).withColumn("_text", text)
     if names:
         base = base.withColumn("_name", name_column(F.col("_text"), given))
         own = F.when(F.col("_name.value").isNotNull(), F.col("_name"))
@@ -113,6 +114,7 @@ def score(df: DataFrame, cells: DataFrame, id_col: str, text_col: str = "text",
     found = infer(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col, names=names)
     nothing = F.array().cast("array<struct<attribute:string,value:string,confidence:double,evidence:string,category:string>>")
     found = found.withColumn("attributes", F.coalesce("attributes", nothing))
+    found = cut(found)  # the texts are gone through once, however often the attributes are used
     code = population.geography_code(settings.geography)
     told = uniqueness(found, cells, id_col, F.lit(code), settings.confidence_threshold)
     return risk(told, settings).withColumn("geography", F.lit(code)).withColumn("attacker_used", F.lit("rule_based")).withColumn("fallback_reason", F.lit(None).cast("string")).drop(text_col)

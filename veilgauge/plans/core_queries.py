@@ -9,11 +9,11 @@ from veilgauge.functions import normalise, similarity
 from veilgauge.functions import vocabulary as V
 from veilgauge.operators import anonymise, attributes, benchmark, build, detect, population, rejects, score
 from veilgauge.schema import Settings
-from veilgauge.session import table
+from veilgauge.session import spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _detected(column):
@@ -305,7 +305,7 @@ _RATING = "CASE WHEN score < 0.1 THEN 'LOW' WHEN score < 0.3 THEN 'MEDIUM' WHEN
 _LEAK = f"SELECT doc_id, concat_ws(',', CASE WHEN {_EMAIL} IS NOT NULL THEN 'email' END, CASE WHEN {_NANP} IS NOT NULL THEN 'phone' END, CASE WHEN {_SSN} IS NOT NULL THEN 'ssn_or_nin' END) AS identifiers FROM documents"
 _LEAK = f"SELECT doc_id, identifiers, score, {_RATING} AS rating FROM (SELECT *, CASE WHEN identifiers <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM ({_LEAK}))"
 _KNOWN = "known(geography, attribute, value) AS (" + " UNION ".join(f"SELECT geography, '{c}', lower({c}) FROM cells WHERE {c} IS NOT NULL" for c in V.POPULATION_COLUMNS) + ")"
-_BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id, attribute ORDER BY value = 'unknown', confidence DESC, value NULLS FIRST, evidence) AS rn FROM quasi) WHERE rn = 1)"
+_BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id, attribute ORDER BY value IS NULL OR value = 'unknown', confidence DESC, value NULLS LAST, evidence) AS rn FROM quasi) WHERE rn = 1)"
 _MATCH = f"""
 WITH cells AS (SELECT geography, {', '.join(V.POPULATION_COLUMNS)}, "count" AS n FROM cross_tab WHERE "count" > 0), {_KNOWN},
 quasi AS (SELECT result_id, attribute, inferred_value AS value, coalesce(confidence, 0) AS confidence, '' AS evidence FROM inferred_attributes WHERE lower(category) = 'quasi'), {_BEST},

@@ -40,6 +40,16 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+#: Inputs of fewer partitions than this are spread before costly work on each row.
+FEW_PARTITIONS = 8
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many partitions as tasks run at once if it comes as a handful only, such as one small file."""
+    n = slots(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < min(n, FEW_PARTITIONS) else df
+
+
 _SHIPPED: set[str] = set()
 
 
