@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgauge.llm.words import Words, mixed, shingles
+from veilgauge.session import spread
 
 SHINGLE = 5
 BLOCK = 2000
@@ -206,6 +207,7 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12, doc_id: str =
     """(item_id, doc_id, span, matched): documents that hold at least `run` words of an item in sequence, at most lightly altered."""
     kind = dict(documents.dtypes)[doc_id]
     base = documents.select(F.col(f"`{doc_id}`").alias("_i"), F.col(f"`{text}`").alias("_t")).where("_t IS NOT NULL AND _t <> ''")
+    base = spread(base)
     rows = items.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
     n_blocks = max(1, math.ceil(rows.count() / BLOCK))
     parts = []

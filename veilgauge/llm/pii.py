@@ -503,9 +503,11 @@ def spans(df, fitted: dict, id_cols: tuple[str, ...], text_col: str = "text"):
     import pandas as pd
     from pyspark.sql import functions as F
 
+    from veilgauge.session import spread
+
     shipped = df.sparkSession.sparkContext.broadcast(fitted)
     kinds = dict(df.dtypes)
-    base = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(id_cols)], F.col(f"`{text_col}`").alias("_t")).where("_t IS NOT NULL AND _t <> ''")
+    base = spread(df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(id_cols)], F.col(f"`{text_col}`").alias("_t")).where("_t IS NOT NULL AND _t <> ''"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = shipped.value

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgauge.session import spread
+
 # Common words by language.
 COMMON_WORDS = {
     "en": "the of and to a in is was for that it with as on be at by i he she they we you my your his her their this not are have has had but or from after before about there which an were so if what do does did how when why who than then no been will can may all any me him them out up would could should our us who into over more most only because since until while though although let just also very some one once again please".split(),
@@ -207,7 +209,7 @@ def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pd.concat([batch[["_i"]], pd.DataFrame(rows, columns=_NAMES, index=batch.index)], axis=1)
 
     kind = dict(df.dtypes)[id_col]
-    out = df.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text_col}`").alias("_t")).mapInPandas(run, f"_i {kind}, {_SCHEMA}")
+    out = spread(df.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text_col}`").alias("_t"))).mapInPandas(run, f"_i {kind}, {_SCHEMA}")
     return out.withColumnRenamed("_i", id_col)
 
 
