@@ -148,12 +148,13 @@ class Index:
                 out.append((top[0], i1 - top[1], top[2], j1))
         return out
 
-    def regions(self, item: int, at: np.ndarray, value: np.ndarray, n: int) -> list[tuple[int, int]]:
-        """Parts of a document of n words around the item's shingles, of which `at` and `value` are place and hash of all that may be some item's."""
+    def hits(self, item: int, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Places of the item's shingles in a document, of which `at` and `value` are place and hash of all that may be some item's."""
         own = self.sets[item]
-        hit = at[own[np.minimum(np.searchsorted(own, value), len(own) - 1)] == value]
-        if len(hit) < SURVIVING:
-            return []
+        return at[own[np.minimum(np.searchsorted(own, value), len(own) - 1)] == value]
+
+    def regions(self, hit: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Parts of a document of n words around an item's shingles."""
         wide = 2 * self.run
         cuts = np.flatnonzero(np.diff(hit) > wide)
         firsts, lasts = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
@@ -161,24 +162,28 @@ class Index:
         return [(max(0, int(f) - wide), min(n, int(z) + SHINGLE + wide)) for f, z, c in zip(firsts, lasts, counts) if c >= SURVIVING]
 
     def verified(self, doc: np.ndarray, s: np.ndarray, items: set[int]) -> list[tuple[int, int, int]]:
-        """(item, item words spanned, matched words) of the candidates that hold."""
+        """(item, item words spanned, matched words) of the candidates that hold.
+
+        Items with the most shingles in the document come first. Words that a
+        chain of one item explains do not count again for another, so an item
+        all of whose shingles lie in such words is passed over.
+        """
         at = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)] == s)
-        found = []
-        for item in sorted(items):
-            for j, k in self.regions(item, at, s[at], len(doc)):
-                for m, span, j0, j1 in self.chains(item, doc[j:k]):
-                    if span >= self.run and m >= LEAST_MATCH * span:
-                        found.append((m, span, j + j0, j + j1, item))
-        # words that a better chain of another item explains do not count again
-        found.sort(key=lambda x: (-x[0], x[4], x[2]))
-        taken = np.zeros(len(doc), np.int64) - 1
+        value = s[at]
+        places = [(i, h) for i in items if len(h := self.hits(i, at, value)) >= SURVIVING]
+        taken = np.zeros(len(doc), bool)
         out: dict[int, tuple[int, int]] = {}
-        for m, span, j0, j1, item in found:
-            other = (taken[j0:j1] >= 0) & (taken[j0:j1] != item)
-            if (j1 - j0) - other.sum() >= self.run:
-                taken[j0:j1] = np.where(taken[j0:j1] < 0, item, taken[j0:j1])
-                if item not in out or out[item][1] < m:
-                    out[item] = (span, m)
+        for item, hit in sorted(places, key=lambda p: (-len(p[1]), p[0])):
+            if (taken[hit] & taken[hit + SHINGLE - 1]).all():
+                continue
+            mine = np.zeros(len(doc), bool)
+            found = [(m, span, j + j0, j + j1) for j, k in self.regions(hit, len(doc)) for m, span, j0, j1 in self.chains(item, doc[j:k]) if span >= self.run and m >= LEAST_MATCH * span]
+            for m, span, j0, j1 in sorted(found, key=lambda x: (-x[0], x[2])):
+                if (j1 - j0) - int(taken[j0:j1].sum()) >= self.run:
+                    mine[j0:j1] = True
+                    if item not in out or out[item][1] < m:
+                        out[item] = (span, m)
+            taken |= mine
         return [(i, a, b) for i, (a, b) in sorted(out.items())]
 
     def leaks(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
