@@ -354,3 +354,16 @@ SQL = {
     "direct_identifiers": "SELECT c_custkey, printf('%03d-%02d-%04d', 200 + c_custkey % 700, 10 + c_custkey % 90, 1000 + c_custkey * 17 % 9000) AS ssn, substr('4' || lpad(CAST(c_custkey + 12345678901234 AS VARCHAR), 15, '0'), 1, 16) AS credit_card, '(415) ' || CAST(200 + c_custkey % 700 AS VARCHAR) || '-' || CAST(1000 + c_custkey % 9000 AS VARCHAR) AS phone_number, CAST(100 + c_custkey AS VARCHAR) || ' Market Street, California' AS address FROM customer",
     "report_lines": "SELECT result_id, printf('Record %d: score %.3f (%s)', result_id, CAST(round(CAST(score AS DECIMAL(12, 6)), 3) AS DOUBLE), coalesce(rating, 'none')) AS line FROM score_results",
 }
+
+_NIN = _first(V.NIN)
+_EMPLOYER = _first(V.EMPLOYER, 1)
+_TIPS = {**V.DIRECT_TIPS, **V.QUASI_TIPS, **V.CONTEXTUAL_TIPS}
+SQL |= {
+    "detect_personal_number": _found(f"coalesce({_SSN}, {_NIN})"),
+    "detect_employer": _found(f"trim({_EMPLOYER})"),
+    "recommendation_counts": f"""
+WITH a AS (SELECT DISTINCT result_id, attribute FROM inferred_attributes WHERE lower(coalesce(inferred_value, 'unknown')) <> 'unknown'),
+t AS (SELECT CASE attribute {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TIPS.items())} END AS tip FROM a JOIN score_results USING (result_id) WHERE score >= 0.3 OR attribute NOT IN ({', '.join(f"'{k}'" for k in V.CONTEXTUAL_TIPS)})
+UNION ALL SELECT '{V.SECOND_PASS_TIP}' FROM (SELECT DISTINCT result_id FROM inferred_attributes) JOIN score_results USING (result_id) WHERE score >= 0.7)
+SELECT tip, count(*) AS n FROM t WHERE tip IS NOT NULL GROUP BY tip""",
+}

@@ -115,3 +115,29 @@ SQL = {
     "p4_persons": f"SELECT line_id, {', '.join({'AGEP': f'{_AGE} AS AGEP', 'PWGTP': f'{_WEIGHT} AS PWGTP'}.get(c, c) for c in R.PERSON_SPEC.columns)} FROM {_P} WHERE {_P_OK}",
     "p4_benchmark_rows": f"SELECT line_id, {', '.join(f'{_DATE} AS date_of_birth' if c == 'date_of_birth' else f'trim({c}) AS {c}' for c in R.BENCHMARK_SPEC.columns)} FROM {_B} WHERE {_B_OK}",
 }
+
+
+def _reasons(name: str, spec: R.RecordSpec, rules: list[tuple[str, str]]) -> str:
+    """SQL for (src_table, line_id, reason); `rules`: reason and the condition under which it is given."""
+    width = len(spec.columns)
+    parts = [f"SELECT '{name}' AS src_table, line_id, '{reason}' AS reason FROM {_split(name, spec.columns)} WHERE shaped AND {when}" for reason, when in rules]
+    shape = f"CASE WHEN l IS NULL OR trim(l) = '' THEN 'empty line' WHEN NOT regexp_full_match(l, '{_F}(?:,{_F})*') THEN 'broken quoting' WHEN len(f) <> {width} THEN 'wrong number of fields: ' || len(f) END"
+    lines = f"(SELECT line_id, l, regexp_extract_all(',' || l, ',(\"(?:[^\"]|\"\")*\"|[^\",]*)', 1) AS f FROM (SELECT line_id, regexp_replace(raw_line, '\\r$', '') AS l FROM {name}))"
+    return " UNION ALL ".join([f"SELECT * FROM (SELECT '{name}' AS src_table, line_id, {shape} AS reason FROM {lines}) WHERE reason IS NOT NULL", *parts])
+
+
+SQL["p4_reasons"] = " UNION ALL ".join(
+    [
+        _reasons("population_pums_synthetic", R.PERSON_SPEC, [("AGEP: no plain number from 0 to 120", f"NOT coalesce(({_AGE}) BETWEEN 0 AND 120, false)"), ("PWGTP: no plain number of at least 0", f"NOT coalesce(({_WEIGHT}) >= 0, false)")]),
+        _reasons(
+            "rat_bench_pums_sample",
+            R.BENCHMARK_SPEC,
+            [
+                *[(f"{c}: blank", f"trim({c}) = ''") for c in R.BENCHMARK_SPEC.columns],
+                ("date_of_birth: no date such as June 3, 1971", f"({_DATE}) IS NULL"),
+                ("occupation: no letters", "NOT regexp_matches(occupation, '\\p{L}')"),
+                ("occupation: marker for a missing value", sql_missing("occupation")),
+            ],
+        ),
+    ]
+)
