@@ -309,6 +309,8 @@ class Scanner:
         """Proposals from a run of capitalised tokens that may all belong to names."""
         while run and run[-1][2] == ",":
             run = run[:-1]
+        if run and run[-1][2].lower() in PLACE_AFTER and not any(w.lower() in self.lexicon.first_names or _TITLE_ONLY.match(w) for _, _, w in run):
+            return  # an organisation or a place, with nothing of a person about it
         titled, fresh = False, True
         for k, (a, _, word) in enumerate(run):
             if _TITLE_ONLY.match(word):
