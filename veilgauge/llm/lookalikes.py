@@ -132,14 +132,17 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str = "text") -> DataF
 def alike_pairs(forms: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Pairs of rows with one form but different strings, smaller id first.
 
-    Only forms with two strings or more are joined. Equal strings make no pair;
-    null and empty texts make none.
+    Different strings of a form are paired first and only then expanded to
+    their rows, so copies of one string are never compared with each other.
+    Equal strings make no pair; null and empty texts make none.
     """
     rows = forms.where("form <> ''").select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), "form")
-    several = rows.groupBy("form").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).where("lo <> hi").select("form")
-    left = rows.join(several, "form")
-    right = left.select(F.col("_i").alias("_j"), F.col("_t").alias("_u"), "form")
-    return left.join(right, "form").where("_i < _j AND _t <> _u").select(F.col("_i").alias(f"{id_col}_a"), F.col("_j").alias(f"{id_col}_b"))
+    strings = rows.select("form", "_t").distinct()
+    other = strings.withColumnRenamed("_t", "_u")
+    different = strings.join(other, "form").where("_t < _u").select("_t", "_u")
+    left = different.join(rows.select("_i", "_t"), "_t").select("_i", "_u")
+    both = left.join(rows.select(F.col("_i").alias("_j"), F.col("_t").alias("_u")), "_u")
+    return both.select(F.least("_i", "_j").alias(f"{id_col}_a"), F.greatest("_i", "_j").alias(f"{id_col}_b"))
 
 
 def classes(forms: DataFrame, id_col: str) -> DataFrame:
