@@ -82,3 +82,14 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert leaked(df, items).count() == 0 and leaked(df.limit(0), items).count() == 0
+
+
+def test_an_altered_passage_repeated_often_keeps_its_chains():
+    """Every repetition gives a chain, however many runs lie between its parts in the order of the item."""
+    item = ITEMS[1][:14]
+    passage = item[:7] + ["other"] + item[8:]
+    index = Index([(1, " ".join(item))], 12)
+    for n in (199, 400, 1000):
+        found = [c for c in index.chains(1, index.words(" ".join(passage * n))) if c[:2] == (13, 14)]
+        assert len(found) == n
+        assert index.leaks([" ".join(passage * n)]) == [[(1, 14, 13)]]

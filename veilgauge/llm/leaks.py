@@ -132,17 +132,21 @@ class Index:
             open_runs = {**{d: r for d, r in open_runs.items() if r[1] >= j - 1}, **new}
         parts = sorted((i, i + (e - j) + 2, j, e + 2) for j, e, i in runs)  # item from, to; document from, to
         best: list[tuple[int, int, int, int]] = []
+        ends: dict[int, dict[int, int]] = {}  # the part that ends at an item word and a document word; no two parts share both
         out = []
         for k, (i0, i1, j0, j1) in enumerate(parts):
             top = (i1 - i0, i0, j0, i1 - i0 >= SHINGLE)
-            for p in range(k - 1, max(-1, k - 200), -1):
-                pi0, pi1, pj0, pj1 = parts[p]
-                cut = max(0, pi1 - i0, pj1 - j0)
-                if i1 - i0 - cut < 1 or i0 - pi1 > GAP or j0 - pj1 > GAP or j1 <= pj1 or i1 <= pi1 or pi1 - i0 > GAP or pj1 - j0 > GAP:
-                    continue
-                m = best[p][0] + (i1 - i0 - cut)
-                if m > top[0]:
-                    top = (m, best[p][1], best[p][2], best[p][3] or i1 - i0 >= SHINGLE)
+            for pi1 in range(i0 - GAP, min(i0 + GAP, i1 - 1) + 1):  # parts that end there start before this one, so they are done
+                at = ends.get(pi1)
+                for pj1 in range(j0 - GAP, min(j0 + GAP, j1 - 1) + 1) if at else ():
+                    p = at.get(pj1)
+                    cut = max(0, pi1 - i0, pj1 - j0)
+                    if p is None or i1 - i0 - cut < 1:
+                        continue
+                    m = best[p][0] + (i1 - i0 - cut)
+                    if m > top[0]:
+                        top = (m, best[p][1], best[p][2], best[p][3] or i1 - i0 >= SHINGLE)
+            ends.setdefault(i1, {})[j1] = k
             best.append(top)
             if top[3]:
                 out.append((top[0], i1 - top[1], top[2], j1))
