@@ -93,3 +93,31 @@ def test_an_altered_passage_repeated_often_keeps_its_chains():
         found = [c for c in index.chains(1, index.words(" ".join(passage * n))) if c[:2] == (13, 14)]
         assert len(found) == n
         assert index.leaks([" ".join(passage * n)]) == [[(1, 14, 13)]]
+
+
+SHARED = text(40)
+#: Items 1 and 2 share twelve words, 1 and 3 nine.
+SHARING = {1: SHARED[:30], 2: text(8) + SHARED[5:17] + text(8), 3: text(6) + SHARED[14:23] + text(9)}
+
+
+def test_items_that_share_twelve_words_are_both_reported():
+    """Whichever of them the document holds more of; a shorter phrase that two items share counts for the one it stands in only."""
+    index = Index([(i, " ".join(w)) for i, w in SHARING.items()], 12)
+    found = lambda words: [i for i, *_ in index.leaks([" ".join(words)])[0]]
+    around = text(20)
+    assert found(around + SHARED[5:17] + around) == [1, 2]
+    assert found(around + SHARED[:30] + around) == [1, 2]
+    assert found(around + SHARING[2] + around) == [1, 2]
+    assert found(around + SHARING[3] + around) == [3]
+    assert found(around + SHARED[12:26] + around) == [1]
+
+
+def test_items_that_share_words_over_blocks(spark, monkeypatch):
+    """Several blocks give what one block gives."""
+    docs = [SHARED[5:17], SHARED[:30], SHARING[2], SHARING[3], SHARED[12:26], SHARED[:30] + text(5) + SHARING[3]]
+    df = spark.createDataFrame([(d, " ".join(text(20) + w + text(20))) for d, w in enumerate(docs)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in SHARING.items()], "item_id bigint, text string")
+    one = sorted(map(tuple, leaked(df, items).collect()))
+    monkeypatch.setattr(leaks, "BLOCK", 1)
+    assert sorted(map(tuple, leaked(df, items).collect())) == one
+    assert {(i, d) for i, d, *_ in one} == {(1, 0), (2, 0), (1, 1), (2, 1), (1, 2), (2, 2), (3, 3), (1, 4), (1, 5), (2, 5), (3, 5)}

@@ -8,11 +8,14 @@ window of which `SURVIVING` shingles are left is missed with a probability of
 `MISSED` at most; an unaltered window is missed about never. Candidates
 (document, item) are verified on the words: shingles of the item found in the
 document exactly are the seeds of runs, runs are chained over light
-alterations, and a chain must span `run` words of the item.
+alterations, and a chain must span `run` words of the item. All candidates are
+verified; a chain is dropped only where another item's matches strictly more
+of the same words (`settled`).
 
 Test items are handled in blocks of at most `BLOCK` items, so what a task
 holds of them is bounded whatever their number; documents are read once for
-each block, and nothing of them is shuffled.
+each block, and nothing of them is shuffled. With several blocks the chains
+found (a few numbers each) are brought together by document to be settled.
 
 Null and empty texts and items of fewer words than `run` give no rows;
 repeated documents are each reported.
@@ -46,6 +49,36 @@ def bands(size: int, window: int) -> int:
     return math.ceil(math.log(MISSED) / math.log(1 - j))
 
 
+#: Matched words, item words spanned, first and last document word, and the matched document words as from, to, from, to, ...
+Chain = tuple[int, int, int, int, list[int]]
+#: Document words of a place in which chains are looked up.
+PLACE = 32
+
+
+def settled(found: list[tuple[int, Chain]]) -> list[tuple[int, int, int]]:
+    """(item, item words spanned, matched words) of a document's chains of all items, the best of each item.
+
+    A chain does not count if a chain of another item that counts matches
+    strictly more of the very words it lies over: then it is a phrase the two
+    items share, in a passage of the other. So twelve words of an item that
+    stand unaltered always count, for every item that has them.
+    """
+    kept: dict[int, list[tuple[int, list[int]]]] = {}
+    out: dict[int, tuple[int, int]] = {}
+    for item, (m, span, j0, j1, words) in sorted(found, key=lambda x: (-x[1][0], x[0], x[1][2], x[1][1])):
+        places = range(j0 // PLACE, (j1 - 1) // PLACE + 1)
+        if any(
+            sum(max(0, min(z, j1) - max(a, j0)) for a, z in zip(w[::2], w[1::2])) >= m + (other != item)  # of the same item: nothing new
+            for p in places
+            for other, w in kept.get(p, ())
+        ):
+            continue
+        for p in places:
+            kept.setdefault(p, []).append((item, words))
+        out.setdefault(item, (span, m))
+    return [(i, a, b) for i, (a, b) in sorted(out.items())]
+
+
 class Index:
     """MinHash bands of the items' windows, and the items' words."""
 
@@ -109,8 +142,8 @@ class Index:
                             found[own[d]].update(self.owner[b][x:y].tolist())
         return found
 
-    def chains(self, item: int, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(matched words, item words spanned, first and last document word) of chained runs that contain a whole shingle of the item."""
+    def chains(self, item: int, doc: np.ndarray) -> list[Chain]:
+        """Chained runs that hold and contain a whole shingle of the item; of a long chain also its beginnings."""
         own = self.items[item]
         pair = lambda w: w[:-1] * np.uint64(31) + w[1:]
         a, b = pair(own), pair(doc)
@@ -132,10 +165,11 @@ class Index:
             open_runs = {**{d: r for d, r in open_runs.items() if r[1] >= j - 1}, **new}
         parts = sorted((i, i + (e - j) + 2, j, e + 2) for j, e, i in runs)  # item from, to; document from, to
         best: list[tuple[int, int, int, int]] = []
+        back: list[tuple[int, int]] = []  # the part before in the chain, or -1, and the first document word that is new
         ends: dict[int, dict[int, int]] = {}  # the part that ends at an item word and a document word; no two parts share both
         out = []
         for k, (i0, i1, j0, j1) in enumerate(parts):
-            top = (i1 - i0, i0, j0, i1 - i0 >= SHINGLE)
+            top, link = (i1 - i0, i0, j0, i1 - i0 >= SHINGLE), (-1, j0)
             for pi1 in range(i0 - GAP, min(i0 + GAP, i1 - 1) + 1):  # parts that end there start before this one, so they are done
                 at = ends.get(pi1)
                 for pj1 in range(j0 - GAP, min(j0 + GAP, j1 - 1) + 1) if at else ():
@@ -145,11 +179,16 @@ class Index:
                         continue
                     m = best[p][0] + (i1 - i0 - cut)
                     if m > top[0]:
-                        top = (m, best[p][1], best[p][2], best[p][3] or i1 - i0 >= SHINGLE)
+                        top, link = (m, best[p][1], best[p][2], best[p][3] or i1 - i0 >= SHINGLE), (p, j0 + cut)
             ends.setdefault(i1, {})[j1] = k
             best.append(top)
-            if top[3]:
-                out.append((top[0], i1 - top[1], top[2], j1))
+            back.append(link)
+            if top[3] and min(i1 - top[1], j1 - top[2]) >= self.run and top[0] >= LEAST_MATCH * (i1 - top[1]):
+                words, p = [], k
+                while p >= 0:
+                    words += [parts[p][3], back[p][1]]
+                    p = back[p][0]
+                out.append((top[0], i1 - top[1], top[2], j1, words[::-1]))
         return out
 
     def hits(self, item: int, at: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -165,34 +204,20 @@ class Index:
         counts = np.diff(np.concatenate([[0], cuts + 1, [len(hit)]]))
         return [(max(0, int(f) - wide), min(n, int(z) + SHINGLE + wide)) for f, z, c in zip(firsts, lasts, counts) if c >= SURVIVING]
 
-    def verified(self, doc: np.ndarray, s: np.ndarray, items: set[int]) -> list[tuple[int, int, int]]:
-        """(item, item words spanned, matched words) of the candidates that hold.
-
-        Items with the most shingles in the document come first. Words that a
-        chain of one item explains do not count again for another, so an item
-        all of whose shingles lie in such words is passed over.
-        """
+    def verified(self, doc: np.ndarray, s: np.ndarray, items: set[int]) -> list[tuple[int, Chain]]:
+        """(item, chain) of the candidates that hold."""
         at = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)] == s)
         value = s[at]
-        places = [(i, h) for i in items if len(h := self.hits(i, at, value)) >= SURVIVING]
-        taken = np.zeros(len(doc), bool)
-        out: dict[int, tuple[int, int]] = {}
-        for item, hit in sorted(places, key=lambda p: (-len(p[1]), p[0])):
-            if (taken[hit] & taken[hit + SHINGLE - 1]).all():
-                continue
-            mine = np.zeros(len(doc), bool)
-            found = [(m, span, j + j0, j + j1) for j, k in self.regions(hit, len(doc)) for m, span, j0, j1 in self.chains(item, doc[j:k]) if span >= self.run and m >= LEAST_MATCH * span]
-            for m, span, j0, j1 in sorted(found, key=lambda x: (-x[0], x[2])):
-                if (j1 - j0) - int(taken[j0:j1].sum()) >= self.run:
-                    mine[j0:j1] = True
-                    if item not in out or out[item][1] < m:
-                        out[item] = (span, m)
-            taken |= mine
-        return [(i, a, b) for i, (a, b) in sorted(out.items())]
+        places = [(i, h) for i in sorted(items) if len(h := self.hits(i, at, value)) >= SURVIVING]
+        return [(item, (m, span, j + j0, j + j1, [j + x for x in words])) for item, hit in places for j, k in self.regions(hit, len(doc)) for m, span, j0, j1, words in self.chains(item, doc[j:k])]
 
     def leaks(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """For each text its leaks. Texts are handled together up to about a million words, so that memory stays bounded."""
-        out: list[list[tuple[int, int, int]]] = []
+        """For each text its leaks: (item, item words spanned, matched words)."""
+        return [settled(found) for found in self.found(texts)]
+
+    def found(self, texts: list[str]) -> list[list[tuple[int, Chain]]]:
+        """For each text the chains of all items. Texts are handled together up to about a million words, so that memory stays bounded."""
+        out: list[list[tuple[int, Chain]]] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> None:
@@ -215,6 +240,7 @@ class Index:
 def leaked(documents: DataFrame, items: DataFrame, run: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, doc_id, span, matched): documents that hold at least `run` words of an item in sequence, at most lightly altered."""
     kind = dict(documents.dtypes)[doc_id]
+    kinds = f"item_id bigint, doc_id {kind}, span bigint, matched bigint"
     base = documents.select(F.col(f"`{doc_id}`").alias("_i"), F.col(f"`{text}`").alias("_t")).where("_t IS NOT NULL AND _t <> ''")
     base = spread(base)
     rows = items.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
@@ -227,11 +253,27 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 12, doc_id: str =
         def run_pass(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             index = Index(shipped.value, run)
             for batch in batches:
-                found = [(item, i, span, m) for i, leaks in zip(batch["_i"], index.leaks(list(batch["_t"]))) for item, span, m in leaks]
-                yield pd.DataFrame(found, columns=["item_id", "doc_id", "span", "matched"])
+                if n_blocks == 1:
+                    found = [(item, i, span, m) for i, leaks in zip(batch["_i"], index.leaks(list(batch["_t"]))) for item, span, m in leaks]
+                    yield pd.DataFrame(found, columns=["item_id", "doc_id", "span", "matched"])
+                else:
+                    rows_of = zip(batch["_i"], batch["_h"], index.found(list(batch["_t"])))
+                    yield pd.DataFrame([(item, i, h, *c) for i, h, chains in rows_of for item, c in chains], columns=["item_id", "doc_id", "_h", "m", "span", "j0", "j1", "words"])
+
+        if n_blocks == 1:
+            out = base.mapInPandas(run_pass, kinds)
+        else:
+            hashed = base.withColumn("_h", F.xxhash64("_t"))
+            parts.append(hashed.mapInPandas(run_pass, f"item_id bigint, doc_id {kind}, _h bigint, m bigint, span bigint, j0 bigint, j1 bigint, words array<bigint>"))
+    if n_blocks > 1:
+
+        def settle(found: pd.DataFrame) -> pd.DataFrame:
+            chains = zip(found["m"], found["span"], found["j0"], found["j1"], (list(w) for w in found["words"]))
+            best = settled(list(zip(found["item_id"], chains)))
+            return pd.DataFrame([(item, found["doc_id"].iloc[0], span, m) for item, span, m in best], columns=["item_id", "doc_id", "span", "matched"])
 
-        parts.append(base.mapInPandas(run_pass, f"item_id bigint, doc_id {kind}, span bigint, matched bigint"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        together = parts[0]
+        for p in parts[1:]:
+            together = together.unionByName(p)
+        out = together.groupBy("doc_id", "_h").applyInPandas(settle, kinds)  # the chains of one document, of all blocks
     return out.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})
