@@ -207,12 +207,16 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correct_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed occupations that count as a right guess of the entry they are nearest to by Jaro-Winkler."""
+    """Typed occupations that count as a right guess, with the entry they are nearest to by Jaro-Winkler (of equally near ones the first).
+
+    Every different value is compared with every entry of the reference list, which is fixed.
+    """
     typed = table(spark, sf_dir, "inferred_attributes").where("attribute = 'occupation' AND inferred_value IS NOT NULL").select(F.lower("inferred_value").alias("value")).distinct()
     entries = table(spark, sf_dir, "canonical_values").where("attribute = 'occupation'").select("ref_id", F.translate("canonical_value", "_", " ").alias("entry"))
-    near = typed.join(F.broadcast(entries), F.substring("value", 1, 1) == F.substring("entry", 1, 1))
-    right = near.where(similarity.is_correct_guess(F.lit("occupation"), F.col("entry"), F.col("value")))
-    return right.groupBy("value").agg(F.min("ref_id").alias("ref_id"))
+    kind = F.lit("occupation")
+    near = spread(typed).crossJoin(F.broadcast(entries)).where(similarity.is_correct_guess(kind, F.col("entry"), F.col("value")))
+    close = similarity.jaro_winkler(similarity.comparable(kind, F.col("entry")), similarity.comparable(kind, F.col("value")))
+    return near.groupBy("value").agg(F.max_by("ref_id", F.struct(close, -F.col("ref_id"))).alias("ref_id"))
 
 
 def bleu_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
