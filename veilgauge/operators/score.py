@@ -109,15 +109,20 @@ def risk(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
-def score(df: DataFrame, cells: DataFrame, id_col: str, text_col: str = "text", settings: Settings = Settings(), names: bool = True) -> DataFrame:
-    """Every text of `df` scored; null texts have no attributes and score 0."""
-    found = infer(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col, names=names)
+def score(df: DataFrame, cells: DataFrame, id_col: str, text_col: str = "text", settings: Settings = Settings(), names: bool = True, geo_col: str | None = None) -> DataFrame:
+    """Every text of `df` scored; null texts have no attributes and score 0.
+
+    With `geo_col` each text is looked up in the cells of its own geography
+    (in any case, UK as GB; a text without one matches no cells), else all in
+    those of the settings.
+    """
+    code = population.geography(F.col(f"`{geo_col}`")) if geo_col else F.lit(population.geography_code(settings.geography))
+    found = infer(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), code.alias("geography")), text_col, names=names)
     nothing = F.array().cast("array<struct<attribute:string,value:string,confidence:double,evidence:string,category:string>>")
     found = found.withColumn("attributes", F.coalesce("attributes", nothing))
     found = cut(found)  # the texts are gone through once, however often the attributes are used
-    code = population.geography_code(settings.geography)
-    told = uniqueness(found, cells, id_col, F.lit(code), settings.confidence_threshold)
-    return risk(told, settings).withColumn("geography", F.lit(code)).withColumn("attacker_used", F.lit("rule_based")).withColumn("fallback_reason", F.lit(None).cast("string")).drop(text_col)
+    told = uniqueness(found, cells, id_col, F.coalesce("geography", F.lit("")), settings.confidence_threshold)
+    return risk(told, settings).withColumn("attacker_used", F.lit("rule_based")).withColumn("fallback_reason", F.lit(None).cast("string")).drop(text_col)
 
 
 def compare(scored: DataFrame, before: str = "before", after: str = "after", pair: str = "pair_id", side: str = "side") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from veilgauge.functions import normalise, similarity
 from veilgauge.functions import vocabulary as V
 from veilgauge.operators import anonymise, attributes, benchmark, build, detect, population, rejects, score
-from veilgauge.schema import Settings
 from veilgauge.session import spread, table
 
 
@@ -79,9 +78,9 @@ def redact_capitalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All scored-text vectors through the whole pipeline, against the illustrative population of the USA."""
-    texts = table(spark, sf_dir, "known_high_risk").select("text_id", "text").unionByName(table(spark, sf_dir, "known_low_risk").select("text_id", "text"))
-    out = score.score(texts, population.sample_for(spark, "US"), "text_id", settings=Settings("US"))
+    """All scored-text vectors through the whole pipeline, each against all delivered population cells of its geography."""
+    texts = table(spark, sf_dir, "known_high_risk").select("text_id", "text", "geography").unionByName(table(spark, sf_dir, "known_low_risk").select("text_id", "text", "geography"))
+    out = score.score(texts, _cells(spark, sf_dir), "text_id", geo_col="geography")
     return out.select("text_id", "score", "rating", "population", "population_coverage", F.array_join("direct_identifiers_found", ",").alias("direct"), F.array_join("unmatched_quasi_identifiers", ",").alias("unmatched"), F.size("recommendations").alias("n_recommendations"))
 
 
