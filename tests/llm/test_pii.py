@@ -106,3 +106,11 @@ def test_bounded_sample(spark):
     assert pii_training._bounded(df, "id", 100).count() == 100 and pii_training._bounded(df.limit(7), "id", 100).count() == 7
     a = sorted(r["id"] for r in pii_training._bounded(df.repartition(3), "id", 50).collect())
     assert a == sorted(r["id"] for r in pii_training._bounded(df.repartition(9), "id", 50).collect())
+
+
+@pytest.mark.parametrize("kind", "Calle|C/|Cl.|Plaza|Pza.|Pza|Pl.|Avenida|Avda.|Avda|Av.|Paseo|P.º|Camino|Ronda|Carretera|Ctra.|Ctra|Travesía|Travesia|Glorieta|Callejón|Callejon|Cuesta|Bulevar".split("|"))
+def test_every_street_type_of_the_pattern_is_tried(kind):
+    scanner = Scanner([], [], [])
+    for text in (f"Vive en {kind} de Burgos, 12 desde mayo.", f"vive en {kind.upper()} de la Paz 3"):
+        low = text.lower()
+        assert [x.start for x in scanner.addresses(text, low)] == [8], text

@@ -82,7 +82,9 @@ _DIR = r"(?:(?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\.?[ \n]+)?"
 _STREET = re.compile(rf"(?<![\w.,/-])(?P<no>\d{{1,5}}[a-z]?(?:\s?[-–]\s?\d{{1,5}}[a-z]?)?),?[ \n]+(?P<name>{_DIR}(?:[^\W\d_][\w'’.-]*[ \n]+){{1,4}}?)(?P<kind>{STREET})(?![\w'’-])", re.I)
 _BOX = re.compile(r"(?<!\w)(?:P\.?\s?O\.?|Post\s+Office)\s+Box\s+\d+", re.I)
 _VIA = re.compile(rf"(?<![\w])(?:{VIA})[ \n]*(?:(?:de|del|la|las|los|el|d')[ \n]+){{0,3}}(?:[^\W\d_][\w'’.-]*[ \n]+){{0,5}}?[^\W\d_][\w'’.-]*,?[ \n]+(?:n\.?º?[ \n]*|núm\.?[ \n]*)?\d{{1,4}}", re.I)
-_VIA_HINTS = ("calle", "c/", "plaza", "avenida", "avda", "paseo", "camino", "ronda", "carretera", "glorieta")
+_VIA_KINDS = [re.sub(r"\\\.\?$", "", v).replace("\\", "") for v in VIA.split("|")]
+#: What stands at the start of every street type of VIA; a type that begins with another is found by that.
+_VIA_HINTS = tuple(v for v in _VIA_KINDS if not any(v != w and v.startswith(w) for w in _VIA_KINDS))
 
 END = "\x00"
 _WORD = re.compile(r"[^\W\d_]+")
