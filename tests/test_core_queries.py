@@ -37,3 +37,11 @@ def test_texts_are_scored_against_the_delivered_cells_of_their_geography(spark,
     assert [got[i]["population"] for i in (1, 2, 3, 4, 6)] == [53, 53, 4, 53, 4]
     assert got[5]["population_coverage"] == "none" and got[5]["unmatched"] == "gender,marital_status,occupation" and got[5]["score"] == 0
     assert got[7]["population_coverage"] == "not_applicable"
+
+
+def test_labels_with_any_characters_are_compared(spark, tmp_path):
+    """By code points: seven of eight characters are the same, in order."""
+    entries = [(1, "espanola", ["española", "espanol", None]), (2, "josé", ["JOSÉ"]), (3, "x", None)]
+    folder = written(spark, tmp_path, canonical_values=(entries, "ref_id bigint, canonical_value string, alt_labels array<string>"))
+    got = {(r["ref_id"], r["label"]): r["jaro"] for r in core_queries.similarity_pairs(spark, folder).collect()}
+    assert got == {(1, "española"): round((7 / 8 + 7 / 8 + 1) / 3, 6), (1, "espanol"): round((7 / 8 + 1 + 1) / 3, 6), (2, "JOSÉ"): 1.0}

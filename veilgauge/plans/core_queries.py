@@ -201,7 +201,7 @@ def small_class_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaro similarity of each entry's name to its own alternative labels."""
-    pairs = table(spark, sf_dir, "canonical_values").select("ref_id", "canonical_value", F.explode("alt_labels").alias("label")).where(F.col("label").rlike(r"^[\x20-\x7e]+$"))
+    pairs = table(spark, sf_dir, "canonical_values").select("ref_id", "canonical_value", F.explode("alt_labels").alias("label")).where("label IS NOT NULL")
     return pairs.select("ref_id", "label", F.round(similarity.jaro(F.col("canonical_value"), F.lower("label")), 6).alias("jaro"))
 
 
