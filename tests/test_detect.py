@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from veilgauge.functions import normalise as N
 from veilgauge.operators import detect as D
-from veilgauge.operators.names import NameFinder, name_column
+from veilgauge.operators.names import GIVEN_NAMES, given_names_of, name_column
 
 
 def run(spark, column, texts):
@@ -35,16 +35,39 @@ def test_detectors(spark, column, text, expected):
     assert run(spark, column, [text]) == [expected]
 
 
-@pytest.mark.parametrize(
-    "text, name",
-    [
-        ("Seen by Dr. José Pérez today", "José Pérez"), ("Name: Ludwig van Beethoven", "Ludwig van Beethoven"), ("Patient Mary Jones came", "Mary Jones"), ("a man named Bob Stone", "Bob Stone"), ("Then Emma O'Brien said", "Emma O'Brien"),
-        ("St John Ambulance", None), ("Mary Hospital opened", None), ("the Patient Safety Board", None), ("Dr Smith Monday", "Smith"), ("", None), (None, None), ("a quiet day", None),
-    ],
-)
-def test_names(text, name):
-    found = NameFinder()(text)
-    assert (found[0] if found else None) == name
+NAMES = [
+    # honorifics (N2), runs (N7) and trimming (N8)
+    ("Seen by Dr. José Pérez today", "José Pérez", 0.9), ("Dr Smith Monday", "Smith", 0.9), ("St Dr Smith", None, None), ("Mrs SMITH left", "SMITH", 0.9), ("Mr J. R. Stone", "J. R. Stone", 0.9), ("Dr Smith. Jones came", "Smith", 0.9),
+    ("Prof Anna Stone Ohio", "Anna Stone", 0.9), ("Mr Stone New York", "Stone", 0.9), ("Mr Xxxx", None, None), ("Dr Acme Labs", None, None), ("Mr Abel Bond Carr Dent Eden", "Abel Bond Carr Dent", 0.9), ("Mr Stone's car", "Stone", 0.9), ("Mr de la", None, None), ("Dr A.", None, None),
+    # labels (N3)
+    ("Name: Ludwig van Beethoven", "Ludwig van Beethoven", 0.9), ("my name is Zed Quill", "Zed Quill", 0.9), ("the patient's name was Zed Quill", "Zed Quill", 0.9), ("brand name: Zed Quill", None, None), ("Surname = QUILL", "QUILL", 0.9), ("file name - Quill", None, None),
+    # patient and client (N4, N9)
+    ("Patient Mary Jones came", "Mary Jones", 0.9), ("the Patient Zed Quill", None, None), ("Well. Patient Zed Quill", "Zed Quill", 0.9), ("Patient ZED QUILL", None, None), ("Patient MARY QUILL", "MARY QUILL", 0.9), ("the Patient Safety Board", None, None), ("a client, Zed Quill", "Zed Quill", 0.9),
+    # named and called (N5)
+    ("a man named Zed Stone", "Zed Stone", 0.9), ("a boat named Zed Stone", None, None), ("a boat called Mary Stone", "Mary Stone", 0.9), ("a patient named ZED STONE", None, None),
+    # known given names (N6, N10)
+    ("Then Emma O'Brien said", "Emma O'Brien", 0.8), ("St John Ambulance", None, None), ("St. John Stone", None, None), ("Mary Hospital opened", None, None), ("EMMA STONE left", "EMMA STONE", 0.8), ("Mary-Jane Quill", "Mary-Jane Quill", 0.8), ("to James Ward", None, None), ("James Ward", "James Ward", 0.8), ("x.Emma Stone", None, None), ("Emma B.", None, None),
+    # selection (N11) and addresses (N1)
+    ("Emma Stone met Dr Quill", "Quill", 0.9), ("Emma Stone met Paul Quill", "Emma Stone", 0.8), ("at 42 Emma Stone Street", None, None), ("PO Box 12 Emma Stone", "Emma Stone", 0.8),
+    ("", None, None), (None, None, None), ("a quiet day", None, None), ("mr smith", None, None), ("Mr", None, None),
+]
+
+
+def test_names(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(NAMES)], "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", name_column(F.col("t")).alias("n")).collect()}
+    for i, (t, name, confidence) in enumerate(NAMES):
+        assert (got[i] and (got[i]["value"], got[i]["confidence"])) == (name and (name, confidence)), t
+    assert got[0]["evidence"] == "Dr. José Pérez" and got[14]["evidence"] == "Name: Ludwig van Beethoven"
+
+
+def test_given_names_are_a_parameter(spark):
+    df = spark.createDataFrame([("Zed Quill came",)], "t string")
+    value = lambda **k: df.select(name_column(F.col("t"), **k)["value"].alias("v")).first()["v"]
+    assert value() is None and value(given=["Zed"]) == "Zed Quill" and value(given=[]) is None
+    full = spark.createDataFrame([("Zed Quill",), ("Dr Zed Stone",), ("Quill, Zed",), ("Ada Lee",), (None,), ("",)], "full string")
+    assert [tuple(r) for r in given_names_of(full, "full").collect()] == [("Zed", 3)]
+    assert "Mary" in GIVEN_NAMES and "Virginia" not in GIVEN_NAMES
 
 
 def test_name_column_and_whole_array(spark):

@@ -23,7 +23,7 @@ def test_documented_examples(spark):
         ("full", 12100, "LOW"), ("full", 1, "HIGH"), ("partial", 32549, "LOW"), ("none", 1_000_000, "LOW"), ("not_applicable", 1_000_000, "LOW"), ("not_applicable", 1_000_000, "LOW")
     ]
     assert got[1]["score"] == 0.85 and got[2]["unmatched_quasi_identifiers"] == ["age_range"]
-    gb = scored(spark, ["The 34-year-old female marine biologist from SW1A 1AA has diabetes.", "Ella Doe, age 34, ella@post.example.org"], "UK")
+    gb = scored(spark, ["The 34-year-old female marine biologist from SW1A 1AA has diabetes.", "Emma Doe, age 34, emma@post.example.org"], "UK")
     assert (gb[0]["score"], gb[0]["population"], gb[0]["rating"]) == (0.1705, 5, "MEDIUM")
     assert (gb[1]["score"], gb[1]["rating"], gb[1]["direct_identifiers_found"]) == (1.0, "CRITICAL", ["email", "full_name"])
     assert "Remove full names and replace with role-based placeholders." in gb[1]["recommendations"] and gb[1]["recommendations"][-1].startswith("Consider a second")

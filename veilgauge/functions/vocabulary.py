@@ -47,8 +47,16 @@ CAPITALISED_PAIR = r"\b([A-Z][\w'`’-]+(?:[ \-][A-Z][\w'`’-]+)+)\b"
 STREET_FULL = "Street|Avenue|Road|Lane|Drive|Boulevard|Way|Court|Place|Terrace|Close|Crescent|Parkway|Highway|Square|Circle|Gardens|Grove|Mews|Parade|Plaza|Trail"
 STREET_SHORT = "St|Ave|Rd|Ln|Blvd|Ct|Pl|Cres|Pkwy|Hwy|Sq|Cir"
 COMPASS = "NE|NW|SE|SW|N|S|E|W"
+ADDRESS = (
+    r"(?<![\w,.])\d{1,5}[A-Za-z]?(?:-\d{1,5})?,?[ \t]+(?:(?:[A-Z][^\W\d_]*(?:['’\-][^\W\d_]+)*|\d{1,3}(?:st|nd|rd|th))\.?[ \t]+){1,4}?"
+    rf"(?:(?:{STREET_FULL})\b|(?:{STREET_SHORT})\b\.?|Dr\b(?!\.?[ \t]+[A-Z][a-z])\.?)(?:[ \t]+(?:{COMPASS})\b)?"
+)
 BIRTH_CUE = r"(?:(?i:\b(?:born|d\.?\s?o\.?\s?b|date\s+of\s+birth|birth\s*date|birthday)(?![a-z]))\.?|(?<![\w.])b\.(?=\s))"
 MONTH = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+DATE = (
+    rf"(?i:\b(?:\d{{1,2}}[/.-]\d{{1,2}}[/.-](?:\d{{4}}|\d{{2}})|\d{{4}}[/.-]\d{{1,2}}[/.-]\d{{1,2}}|\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?(?:{MONTH})\.?,?\s+\d{{4}}"
+    rf"|(?:{MONTH})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})(?!\d))"
+)
 
 # Occupations, conditions and their order.
 ROLES = ("nurse", "teacher", "engineer", "marine biologist", "doctor", "lawyer", "accountant", "journalist")
@@ -64,6 +72,34 @@ STATES = (
 STATE_CODES = "AK AR AZ CA DC FL GA IA IL KS KY LA MN MO MT NC ND NE NH NJ NM NV NY PR RI SC SD TN TX UT VA VT WA WI WV WY".split()
 STATE_CODES_WITH_COMMA = "AL CO CT DE HI ID IN MA MD ME MI MS OH OK OR PA".split()
 
+# Words around full names. Cues and labels, words that end a run of name words, words that make it an
+# organisation, place or condition, places before a name, particles inside it, and words for people and their owners.
+HONORIFIC = "Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Sir|Dame"
+NAME_LABEL = r"(?:sur|fore)?name\s*(?::|=|-\s|\bis\b|\bwas\b)"
+NAME_STOP_WORDS = (
+    "january february march april may june july august september sept october november december feb mar apr jun jul aug sep oct nov dec monday tuesday wednesday thursday friday saturday sunday mon tue tues wed thu thur thurs fri sat sun "
+    "morning afternoon evening night today tomorrow yesterday christmas easter a an and or but nor not the this that these those there here then than of in on at to for from with by about as into onto over under after before "
+    "is was are were be been has had have will would shall should can could may might must do does did said says told asked who whom whose which what when where why how he she they we you it i me him her them us his hers their theirs our your its my mine "
+    "mr mrs ms miss mx dr prof sir dame redacted anonymised anonymized anonymous anon withheld removed hidden masked deleted omitted confidential private unknown none null blank tbc tbd na "
+    "patient patients client clients person people name surname forename safety care records record notes portal transport information experience advice liaison access support advocate advocacy relations account feedback "
+    "satisfaction outcomes education leaflet participation choice voice journey pathway reference number id identifier details demographics summary history consent status list registry register zero discharge admission assessment "
+    "review guide charter rights forum panel success manager onboarding agreement contract data file files side area zone code new "
+    "england scotland wales ireland britain uk usa america europe africa asia canada australia mexico india china pakistan italy france spain germany"
+).split()
+NAME_ENTITY_WORDS = (
+    "street st road rd avenue ave ln drive boulevard blvd way ct place pl terrace close crescent parkway highway hwy square sq circle mews grove station line airport bridge river lake bay valley hills heights island islands beach "
+    "forest mountain mountains falls springs creek harbor harbour palace tower house building estate village town city county state province district borough region wing unit suite garden gardens "
+    "hospital clinic surgery practice centre center chapel cathedral mosque temple synagogue museum gallery library theatre theater stadium arena hotel inn restaurant cafe café bar pub shop store stores market mall pharmacy "
+    "school college university institute academy labs lab laboratory laboratories inc ltd llc llp plc corp corporation company co group holdings partners partnership associates solutions systems technologies tech bank "
+    "council board committee commission agency authority department ministry office service services society association union club fc team foundation trust charity fund appeal league show cup bowl award awards prize "
+    "medal memorial project programme program scheme act day disease syndrome palsy lymphoma sarcoma scale test score method effect theorem principle aid science democrat democrats democratic"
+).split()
+NAME_PLACE_PREFIXES = "st saint san santa fort ft port mount mt lake cape glen notre".split()
+NAME_PARTICLES = "van von der den de del della di da dos das du la le bin ibn al el ter ten".split()
+NAME_OWNERS = "my his her their your our whose full legal maiden first last given preferred birth".split()
+MORE_PERSON_WORDS = "someone somebody guy baby friend brother sister doctor nurse teacher".split()
+LOCATION_WORDS = "to on onto in into from at the".split()
+
 # Terms of sensitive groups and the group each stands for.
 PERSON_NOUNS = "woman women man men person people patient patients girl boy lady ladies gentleman gentlemen female male individual adult child children teen teenager student mother father mum mom dad wife husband partner son daughter family couple neighbour neighbor colleague employee worker resident client customer applicant youth veteran convert priest nun monk".split()
 ETHNICITY = {
@@ -80,6 +116,13 @@ RELIGION = {
     "protestant": "christian", "anglican": "christian", "baptist": "christian", "methodist": "christian", "evangelical": "christian",
 }
 RELIGION_MODIFIERS = "practi[cs]ing|devout|observant|strict|lapsed|non-practi[cs]ing|orthodox|committed|born-again|conservative|reform|secular|sunni|shia"
+# What stands around those terms. A subject, its verb, the end of the clause, a self-description, a label, and nouns of descent.
+SUBJECT = rf"(?:\b(?:i|we|she|he|they|who|{'|'.join(PERSON_NOUNS)})|(?-i:\b(?!(?:It|This|That|There|Which|What)\b)[A-Z][a-z]+))"
+COPULA = r"(?:\s+(?:is|was|am|are|were)|['’](?:s|m|re))\s+"
+CLAUSE_END = r"(?=[ \t]*(?:[,.;:!?)\]\n]|$)|\s+(?:and|but|who|since|from|by|so|although|though|as|like|with|in|at|for)\b)"
+IDENTIFIES_AS = r"\b(?:(?:self-)?identif(?:y|ies|ied|ying)|describes?\s+(?:her|him|them)sel(?:f|ves))\s+as\s+(?:an?\s+)?"
+TERM_LABEL = r"\s*(?::|=|-|\bis\b|\bwas\b)\s*"
+DESCENT = "descent|origin|heritage|background|ancestry|ethnicity|extraction"
 ORIENTATION = {"gay": "gay", "lesbian": "lesbian", "bisexual": "bisexual", "pansexual": "pansexual", "asexual": "asexual", "homosexual": "gay", "heterosexual": "heterosexual", "queer": "queer", "straight": "heterosexual"}
 
 # Whole values that mean "no value", and beginnings that do.
