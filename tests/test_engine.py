@@ -199,6 +199,24 @@ def test_benchmark_entries(spark):
         benchmark.get_profile("other")
 
 
+def test_records_are_drawn_by_class(spark):
+    """Where people are rare enough each of them is as likely; where nobody is, each class is; more entries than people may be drawn."""
+    blank = {a: "x" for a in benchmark.INDIRECT}
+    rows = [(i, {**blank, "occupation": f"rare{i}"}) for i in range(20)] + [(i, {**blank, "occupation": "common"}) for i in range(20, 60)]
+    frame = lambda rows: spark.createDataFrame([(i, *[r[a] for a in benchmark.INDIRECT]) for i, r in rows], f"row_id bigint, {', '.join(a + ' string' for a in benchmark.INDIRECT)}")
+    n = 3000
+    p = benchmark.get_profile("paper", n_records=n)
+    wanted = spark.range(n).select(F.col("id").alias("entry"), F.array(F.lit("occupation")).alias("indirect"))
+    drawn = lambda rows: Counter(r["row_id"] for r in benchmark.chosen_records(frame(rows), wanted, p).collect())
+    got = drawn(rows)
+    assert sum(got.values()) == n and set(got) <= set(range(20)) and all(90 < got[i] < 220 for i in range(20))
+    # classes of 10 and 30 people: as likely as each other, and their people as likely as each other
+    got = drawn([(i, {**blank, "occupation": "few" if i < 10 else "many"}) for i in range(40)])
+    few = sum(got[i] for i in range(10))
+    assert sum(got.values()) == n and 1380 < few < 1620 and all(got[i] > 90 for i in range(10)) and all(got[i] > 20 for i in range(10, 40))
+    assert benchmark.chosen_records(frame(rows).limit(0), wanted, p).count() == 0
+
+
 def test_risk_is_strict_and_uses_true_values(spark):
     hits = spark.createDataFrame([(1, "x", "t", "state_of_residence", "California", "California", True), (1, "x", "t", "gender", "Male", "unknown", False), (2, "x", "t", "email", "a@b", "a@b", True), (3, "x", "t", "race", "White", "unknown", False)], "entry int, anonymiser string, anonymised string, attribute string, truth string, guess string, hit boolean")
     at = lambda theta: {r["entry"]: (r["risk"], r["success"]) for r in benchmark.risks(hits, people(spark), theta).collect()}

@@ -6,12 +6,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veilgauge.functions import vocabulary as V
 from veilgauge.functions.similarity import bleu, is_correct_guess
 from veilgauge.operators.anonymise import Anonymiser, default_set, guess
-from veilgauge.operators.population import class_sizes
 
 INDIRECT, DIRECT = V.BENCH_INDIRECT, V.BENCH_DIRECT
 
@@ -54,8 +52,10 @@ def targets(spark: SparkSession, profile: Profile) -> DataFrame:
     return base.withColumn("indirect", pick(INDIRECT, profile.n_indirect)).withColumn("direct", F.when(F.col("difficulty") == "implicit", F.array().cast("array<string>")).otherwise(pick(DIRECT, profile.n_direct)))
 
 
-#: Entries drawn against all people at once.
-MOST_ENTRIES = 1000
+#: Parts into which the classes of a set of attributes fall, so that a draw looks at one part only.
+PARTS = 1024
+#: Entries up to which their choices are sent to all tasks; more are joined by shuffle.
+SHIPPED_ENTRIES = 100_000
 
 
 def _mask(has) -> Column:
@@ -68,25 +68,50 @@ def _masked_key(values: dict[str, Column]) -> Column:
     return F.concat_ws("\x1f", *shown)
 
 
+def _classes(people: DataFrame, masks: list[int], row_id: str) -> DataFrame:
+    """(row, _m, _h1, _h2): every person once for each set of attributes, with two hashes of the values in it."""
+    each = people.select(F.col(f"`{row_id}`").alias("row"), *INDIRECT, F.explode(F.array(*[F.lit(m) for m in masks] or [F.lit(0)])).alias("_m"))
+    key = _masked_key({a: F.col(a) for a in INDIRECT})
+    return each.select("row", "_m", *[F.xxhash64(F.lit(k), F.col("_m"), key).alias(f"_h{k}") for k in (1, 2)])
+
+
 def chosen_records(people: DataFrame, wanted: DataFrame, profile: Profile, row_id: str = "row_id") -> DataFrame:
     """A record for each entry: one that is rare enough in the entry's attributes, else one drawn by rarity.
 
-    The people are counted once for each set of attributes that occurs; the
-    entries, a stated set of at most MOST_ENTRIES, are compared with all of
-    them, each task keeping its best record per entry.
+    Drawn are classes, not people: of people who are rare enough each counts
+    alike, so their classes weigh as many as they have; where nobody is, a
+    record's chance is one over its class, so all classes weigh the same. The
+    classes of a set of attributes fall into PARTS by hash; an entry draws a
+    part by the parts' weights, a class in it, and a record in that. Nothing
+    is compared with all people, and any number of entries may be drawn.
     """
-    if profile.n_records > MOST_ENTRIES:
-        raise ValueError(f"at most {MOST_ENTRIES} entries are drawn at once")
+    from veilgauge.session import cut
+
     asked = wanted.select("entry", _mask(lambda a: F.array_contains("indirect", a)).alias("_m"))
-    masks = [r[0] for r in asked.select("_m").distinct().collect()]
-    spread = people.select(row_id, *INDIRECT, F.explode(F.array(*[F.lit(m) for m in masks])).alias("_m")).select(row_id, "_m", _masked_key({a: F.col(a) for a in INDIRECT}).alias("_k"))
-    sizes = spread.groupBy("_m", "_k").agg(F.count(F.lit(1)).alias("n"))
-    rare = spread.join(sizes, ["_m", "_k"]).select(row_id, "_m", (1.0 / F.col("n")).alias("kappa"))
-    u = F.greatest(_draw(profile.seed, F.col("entry"), F.col(row_id)), F.lit(1e-12))
-    fit = F.col("kappa") >= profile.theta0
-    rank = F.struct(fit.alias("fit"), F.when(fit, u).otherwise(F.log(u) / F.col("kappa")).alias("u"), F.col(row_id).alias("row"))
-    best = rare.join(F.broadcast(asked), "_m").groupBy("entry").agg(F.max(rank).alias("best"))
-    return best.select("entry", F.col("best.row").alias(row_id))
+    masks = [r[0] for r in asked.select("_m").distinct().collect()]  # sets of nine attributes, 511 at most
+    each = _classes(people, masks, row_id)
+    order = F.xxhash64(F.lit(profile.seed), F.col("row"))
+    classes = each.groupBy("_m", "_h1", "_h2").agg(F.count(F.lit(1)).alias("n"), F.max_by("row", order).alias("row"))
+    fit = 1.0 / F.col("n") >= profile.theta0
+    classes = cut(classes.withColumn("part", F.pmod("_h1", F.lit(PARTS)).cast("int")).withColumn("fit", F.when(fit, F.col("n")).otherwise(0)))
+    parts = classes.groupBy("_m", "part").agg(F.sum("fit").alias("fit"), F.count(F.lit(1)).alias("n"))
+    sums = parts.groupBy("_m").agg(F.array_sort(F.collect_list(F.struct("part", "fit", "n"))).alias("parts"))  # PARTS at most
+    sums = sums.withColumn("any_fit", F.exists("parts", lambda p: p["fit"] > 0))
+    weights = F.transform("parts", lambda p: F.when(F.col("any_fit"), p["fit"]).otherwise(p["n"]))
+    sums = sums.select("_m", "any_fit", F.transform("parts", lambda p: p["part"]).alias("ids"), weights.alias("w"))
+    running = F.aggregate("w", F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    sums = sums.withColumn("upto", running)
+    u = _draw(profile.seed, F.col("entry"), "part") * F.element_at("upto", -1)
+    at = F.size(F.filter("upto", lambda c: c <= u)) - 1
+    drawn = asked.join(sums, "_m").select("entry", "_m", "any_fit", F.get("ids", at).alias("part"))
+    small = F.broadcast if profile.n_records <= SHIPPED_ENTRIES else lambda df: df
+    own = classes.join(small(drawn), ["_m", "part"]).withColumn("w", F.when(F.col("any_fit"), F.col("fit")).otherwise(1)).where("w > 0")
+    lot = F.log(F.greatest(_draw(profile.seed, F.col("entry"), F.col("_h1")), F.lit(1e-12))) / F.col("w")
+    best = cut(own.groupBy("entry").agg(F.max_by(F.struct("_m", "_h1", "_h2", "n", "row"), F.struct(lot, F.col("_h1"))).alias("c")).select("entry", "c.*"))
+    alone = best.where("n = 1").select("entry", F.col("row").alias(row_id))
+    shared = small(best.where("n > 1").select("entry", "_m", "_h1", "_h2"))
+    rows = each.join(shared, ["_m", "_h1", "_h2"]).groupBy("entry").agg(F.max_by("row", F.struct(F.xxhash64(F.lit(profile.seed), "entry", "row"), "row")).alias(row_id))
+    return alone.unionByName(rows)
 
 
 def direct_identifiers(entry: Column, gender: Column, occupation: Column, state: Column) -> dict[str, Column]:
@@ -144,7 +169,8 @@ def entries(people: DataFrame, profile: Profile, row_id: str = "row_id") -> Data
     if profile.language != "en":
         raise ValueError("transcripts are written in English only")
     wanted = targets(people.sparkSession, profile)
-    picked = wanted.join(chosen_records(people, wanted, profile, row_id), "entry").join(people.select(row_id, *INDIRECT), row_id)
+    chosen = wanted.join(chosen_records(people, wanted, profile, row_id), "entry")
+    picked = people.select(row_id, *INDIRECT).join(F.broadcast(chosen) if profile.n_records <= SHIPPED_ENTRIES else chosen, row_id)
     direct = direct_identifiers(F.col("entry"), F.col("gender"), F.col("occupation"), F.col("state_of_residence"))
     truth = F.create_map(*[x for a in INDIRECT for x in (F.lit(a), F.col(a))], *[x for a, v in direct.items() for x in (F.lit(a), v)])
     made = picked.withColumn("targets", F.concat("indirect", "direct")).withColumn("truth", truth)
@@ -203,13 +229,3 @@ def evaluated(entries_: DataFrame, people: DataFrame, anonymisers: list[Anonymis
     recall = universe.join(kept, ["anonymiser", "attribute"], "left").fillna(0.0, ["recall"])
     names = [a.name for a in own]
     return summary.where(F.col("anonymiser").isin(names)), recall.where(F.col("anonymiser").isin(names))
-
-
-def rarest(people: DataFrame, attributes: list[str], k: int, row_id: str = "row_id") -> DataFrame:
-    """The k records of the smallest classes, ties by id."""
-    return class_sizes(people, attributes).withColumn("kappa", 1.0 / F.col("class_size")).orderBy(F.desc("kappa"), row_id).limit(k)
-
-
-def windowed_classes(people: DataFrame, attributes: list[str]) -> DataFrame:
-    """Class sizes by a window; for populations without a very large class."""
-    return people.withColumn("class_size", F.count(F.lit(1)).over(Window.partitionBy(*attributes)))

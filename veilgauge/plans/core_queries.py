@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilgauge.functions import normalise, similarity
 from veilgauge.functions import vocabulary as V
 from veilgauge.operators import anonymise, attributes, benchmark, build, detect, population, rejects, score
-from veilgauge.session import spread, table
+from veilgauge.session import cut, spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,21 +225,17 @@ def bleu_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = benchmark.entries(_bench_people(spark, sf_dir), benchmark.get_profile("paper"))
+    made = benchmark.entries(cut(_bench_people(spark, sf_dir)), benchmark.get_profile("paper"))
     return made.select("entry_id", "scenario", "difficulty", F.array_join("targets", ",").alias("targets"), "text")
 
 
 def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veilgauge.session import cut
-
     people = cut(_bench_people(spark, sf_dir))
     made = cut(benchmark.entries(people, benchmark.get_profile("paper")))
     return benchmark.evaluated(made, people)[0]
 
 
 def benchmark_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veilgauge.session import cut
-
     people = cut(_bench_people(spark, sf_dir))
     made = cut(benchmark.entries(people, benchmark.get_profile("paper")))
     return benchmark.evaluated(made, people)[1]
