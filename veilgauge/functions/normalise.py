@@ -20,8 +20,9 @@ def clean_value(value: Column) -> Column:
     """The stripped value; `unknown` if it is null, empty or a placeholder, also a masked or bracketed one. Partly masked values stay."""
 
     def cleaned(text: Column) -> Column:
-        core = _core(text)
-        key = F.trim(F.regexp_replace(F.lower(core), r"[\s_-]+", " "))
+        return let(_core(text), lambda core: let(F.trim(F.regexp_replace(F.lower(core), r"[\s_-]+", " ")), lambda key: judged(text, core, key)))
+
+    def judged(text: Column, core: Column, key: Column) -> Column:
         masked = text.rlike(r"\A[xX*#•\s\-./()]+\z") & ~text.rlike(r"(?<![xX])[xX](?![xX])") & text.rlike(r"[xX*#•]")
         placeholder = key.isin(*V.PLACEHOLDERS) | key.rlike(V.NOT_GIVEN) | key.rlike(r"^redacted( |$)|(^| )redacted$") | core.rlike(r"\A(?:\[+[^\[\]]*\]+|<+[^<>]*>+|\{+[^{}]*\}+)\z") | masked
         return F.when(placeholder, V.UNKNOWN).otherwise(text)

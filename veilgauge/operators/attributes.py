@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from veilgauge.functions import vocabulary as V
 from veilgauge.functions.missing import strip
 from veilgauge.functions.normalise import clean_value, quasi_value
-from veilgauge.functions.text import lookup
+from veilgauge.functions.text import let, lookup
 
 _ITEM = "struct<attribute:string,inferred_value:string,confidence:string,evidence:string,category:string>"
 
@@ -74,10 +74,9 @@ def cleaned(items: Column) -> Column:
     def one(x: Column) -> Column:
         name = strip(x["attribute"])
         category = lookup(V.CATEGORY, name)
-        value = clean_value(x["inferred_value"])
         return F.struct(
             name.alias("attribute"),
-            F.when(category == "quasi", quasi_value(name, value)).otherwise(value).alias("value"),
+            let(clean_value(x["inferred_value"]), lambda v: F.when(category == "quasi", quasi_value(name, v)).otherwise(v)).alias("value"),
             confidence(x["confidence"]).alias("confidence"),
             F.coalesce(strip(x["evidence"]), F.lit("")).alias("evidence"),
             category.alias("category"),
@@ -96,10 +95,7 @@ def deduplicated(items: Column) -> Column:
         known = lambda x: (x["value"] == V.UNKNOWN).cast("int")
         return by(a["attribute"], b["attribute"], by(known(a), known(b), by(-a["confidence"], -b["confidence"], by(a["value"], b["value"], by(a["evidence"], b["evidence"], F.lit(0))))))
 
-    ordered = F.array_sort(items, order)
-    return F.transform(
-        F.filter(F.transform(ordered, lambda x, i: F.struct(x.alias("x"), F.when(i == 0, True).otherwise(F.get(ordered, i - 1)["attribute"] != x["attribute"]).alias("first"))), lambda s: s["first"]), lambda s: s["x"]
-    )
+    return let(F.array_sort(items, order), lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["attribute"] != x["attribute"])))
 
 
 def best_per_attribute(long: DataFrame, key: str) -> DataFrame:

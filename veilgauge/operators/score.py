@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilgauge.functions import vocabulary as V
 from veilgauge.functions.missing import strip
 from veilgauge.functions.normalise import clean_value, quasi_value
-from veilgauge.functions.text import lookup
+from veilgauge.functions.text import let, lookup
 from veilgauge.operators import detect, population
 from veilgauge.operators.attributes import deduplicated
 from veilgauge.operators.names import GIVEN_NAMES, name_column
@@ -20,7 +20,7 @@ def refined(attributes: Column) -> Column:
     """Detected attributes with cleaned and normalised values, one per attribute, sorted."""
     one = lambda x: F.struct(
         x["attribute"].alias("attribute"),
-        F.when(x["category"] == "quasi", quasi_value(x["attribute"], clean_value(x["value"]))).otherwise(clean_value(x["value"])).alias("value"),
+        let(clean_value(x["value"]), lambda v: F.when(x["category"] == "quasi", quasi_value(x["attribute"], v)).otherwise(v)).alias("value"),
         x["confidence"].alias("confidence"),
         strip(x["evidence"]).alias("evidence"),
         x["category"].alias("category"),
