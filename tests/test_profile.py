@@ -1,7 +1,9 @@
+import os
 from collections import Counter, defaultdict
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilgauge.operators import profile as P
 
@@ -53,16 +55,52 @@ def test_loads_that_stand_out(spark, table):
     assert {(r["load"], r["column_name"]) for r in found.collect()} == {(2, "occupation"), (3, "postcode_district"), (4, "count"), (5, "count")}
 
 
-def test_chunks_known_from_footers_are_not_scanned(spark, tmp_path):
+def test_settled_chunks_are_never_read(spark, tmp_path):
+    """The pages of settled chunks are overwritten with rubbish, and the counts still come out; other chunks of the file are read."""
+    import glob
+
+    import pyarrow.parquet as pq
+
     path = str(tmp_path / "constant")
     for load, value in ((1, "nurse"), (2, "cook"), (3, None)):
-        spark.createDataFrame([(i, load, "GB", value, "SW", 5, "x") for i in range(50)], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame([(i, load, "GB", value, ["SW", "E"][i % 2], 5, "x") for i in range(50)], SCHEMA).coalesce(1).write.mode("append").parquet(path)
     df = spark.read.parquet(path)
-    checks = (P.ColumnCheck("occupation"),)
-    scan, sure = P._scan_plan(df, "load_id", checks)
-    assert scan == [] and sorted((r["_load"], r["v"], r["n"]) for r in sure.collect()) == [(1, "nurse", 50), (2, "cook", 50), (3, None, 50)]
-    counts = P.value_counts(df, checks).collect()
-    assert sorted((r["load"], r["value"] or "", r["n"]) for r in counts) == [(1, "nurse", 50), (2, "cook", 50), (3, "", 50)]
+    checks = (P.ColumnCheck("occupation", F.col("occupation") == "cook"), P.ColumnCheck("postcode_district"))
+    settled = {(r["load"], r["column_name"]): r["settled"] for r in P.chunk_plan(df, "load_id", ("occupation", "postcode_district", "geography")).collect()}
+    assert settled == {(str(k), c): c != "postcode_district" for k in (1, 2, 3) for c in ("occupation", "postcode_district", "geography")}
+    for f in glob.glob(f"{path}/*.parquet"):
+        meta = pq.read_metadata(f)
+        raw = bytearray(open(f, "rb").read())
+        for i in range(meta.num_columns):
+            chunk = meta.row_group(0).column(i)
+            if chunk.path_in_schema in ("occupation", "geography") and chunk.statistics.null_count < 50:
+                end = (chunk.dictionary_page_offset or chunk.data_page_offset) + chunk.total_compressed_size
+                raw[end - 2 : end] = b"\xff\xff"  # the end of the last data page
+        open(f, "wb").write(raw)
+        for crc in glob.glob(f"{path}/.*.crc"):
+            os.remove(crc)
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        df.select("occupation").collect()
+    counts = [r for r in P.value_counts(df, checks).collect() if r["column_name"] == "occupation"]
+    assert sorted((r["load"], r["group"], r["value"] or "", r["n"], r["ill"]) for r in counts) == [(1, "GB", "nurse", 50, False), (2, "GB", "cook", 50, True), (3, "GB", "", 50, False)]
+
+
+def test_dictionaries_given_up_are_no_candidates(tmp_path):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r = random.Random(1)
+    many = pa.table({"v": ["%030x" % r.getrandbits(120) for _ in range(60_000)], "w": ["a", "b", None] * 20_000, "x": [7] * 60_000})
+    for codec in ("snappy", "zstd", "gzip", "none"):
+        for version in ("1.0", "2.0"):
+            f = str(tmp_path / f"{codec}{version}.parquet")
+            pq.write_table(many, f, compression=codec, data_page_version=version, dictionary_pagesize_limit=100_000)
+            meta = pq.read_metadata(f)
+            with open(f, "rb") as source:
+                v, w, x = (P._dictionary(source, meta.row_group(0).column(i)) for i in range(3))
+            assert v is None and sorted(w) == ["a", "b"] and x == [7]
 
 
 def test_footer_extrema_equal_the_data(spark, table):
