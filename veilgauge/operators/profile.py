@@ -9,8 +9,10 @@ Three steps, at the grain of a chunk (a column of a row group):
 2. A chunk is settled if its row group belongs to one load (the load column
    has no nulls and one value) and it holds one value at most, or only nulls.
    Its counts follow from the footer, and its data is never read.
-3. Only the row groups and columns left are read, a batch at a time, and
-   counted by load and value in Arrow before anything is shuffled.
+3. Files without a settled chunk are scanned by Spark, only in the columns
+   that need it, and counted by load and value before anything is shuffled. Of
+   files that also have settled chunks only the others are read, chunk by
+   chunk and a batch at a time, counted in Arrow.
 
 Whether a value is ill-formed and which group a load belongs to is decided on
 the counted values, not on rows.
@@ -231,17 +233,23 @@ def value_counts(table: DataFrame, checks: tuple[ColumnCheck, ...], load: str =
     """
     kinds = dict(table.dtypes)
     names = tuple(dict.fromkeys((*[c.name for c in checks], group)))
-    plan = cut(chunk_plan(table, load, names))  # one row per chunk
+    plan = chunk_plan(table, load, names)
+    per_file = plan.groupBy("file").agg(F.max("settled").alias("any"))
+    whole = [r["file"] for r in per_file.where("NOT any").select("file").collect()]  # names of files only, as the table lists them anyway
     pairs = F.array(F.struct(F.lit(None).cast("string").alias("v"), F.col("nulls").alias("n")), F.struct(F.col("value").alias("v"), (F.col("n_rows") - F.col("nulls")).alias("n")))
     sure = plan.where("settled").select("load", "column_name", F.explode(pairs).alias("x")).select("load", "column_name", "x.v", "x.n").where("n > 0")
-    left = plan.where("NOT settled").groupBy("file", "row_group").agg(F.collect_set("column_name").alias("names"))
-    read = left.repartition(4 * slots(table.sparkSession), "file", "row_group").mapInPandas(_count_chunks(load), "load string, column_name string, v string, n bigint")
+    left = plan.join(per_file.where("any").select("file"), "file").where("NOT settled").groupBy("file", "row_group").agg(F.collect_set("column_name").alias("names"))
+    single = left.repartition(4 * slots(table.sparkSession), "file", "row_group").mapInPandas(_count_chunks(load), "load string, column_name string, v string, n bigint")
     code = {c: i for i, c in enumerate(names)}
     short = F.coalesce(*[F.when(F.col("column_name") == c, F.lit(i).cast("tinyint")) for c, i in code.items()])
-    each = sure.unionByName(read).select(F.col("load").cast(kinds[load]).alias("load"), short.alias("c"), "v", "n")
+    each = sure.unionByName(single).select(F.col("load").cast(kinds[load]).alias("load"), short.alias("c"), "v", "n")
+    if whole:
+        values = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c, i in code.items()])
+        scan = table.sparkSession.read.schema(table.schema).parquet(*whole).select(F.col(f"`{load}`").alias("load"), F.explode(values).alias("x"))
+        each = each.unionByName(scan.select("load", "x.c", "x.v", F.lit(1).cast("bigint").alias("n")))
     counted = cut(each.groupBy("load", "c", "v").agg(F.sum("n").alias("n")))
     loads = counted.where(F.col("c") == code[group]).groupBy("load").agg(F.max("v").alias("group"))
-    own = joined_by_load(counted, loads, ["load"])
+    own = joined_by_load(counted, loads, ["load"], small=loads.count() <= SHIPPED_LOADS)
     column = F.coalesce(*[F.when(F.col("c") == i, F.lit(c)) for c, i in code.items()])
     rows = own.select(F.col("load").alias("_load"), F.col("c").alias("_c"), F.col("v").alias("_v"), F.col("n").alias("_n"), F.col("group").alias("_group"), column.alias("_column"))
     rows = rows.where(F.col("_c").isin(*[code[c.name] for c in checks]))
@@ -252,15 +260,13 @@ def value_counts(table: DataFrame, checks: tuple[ColumnCheck, ...], load: str =
     return rows.select(F.col("_load").alias("load"), F.col("_group").alias("group"), F.col("_column").alias("column_name"), F.col("_v").alias("value"), ill.alias("ill"), F.col("_n").alias("n"))
 
 
-def joined_by_load(rows: DataFrame, per_load: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """`rows` with what `per_load` has for each load (or load and column), null keys being equal; broadcast only if it is small by count."""
-    small = cut(per_load)
-    small = F.broadcast(small) if small.count() <= SHIPPED_LOADS else small
-    renamed = small.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+def joined_by_load(rows: DataFrame, per_load: DataFrame, keys: list[str], how: str = "left", small: bool = False) -> DataFrame:
+    """`rows` with what `per_load` has for each load (or load and column), null keys being equal; broadcast only where the caller counted it."""
+    other = per_load.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+    return rows.join(F.broadcast(other) if small else other, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def _bin(v: Column) -> Column:
@@ -268,7 +274,7 @@ def _bin(v: Column) -> Column:
     return (F.signum(v) * F.floor(16 * F.log1p(F.abs(v)))).cast("int")
 
 
-def medians(numbers: DataFrame) -> DataFrame:
+def medians(numbers: DataFrame, small: bool = False) -> DataFrame:
     """(load, column_name, median), exact, of (load, column_name, x, n).
 
     The bins are summed first; then only the values of the bins that hold the
@@ -283,7 +289,7 @@ def medians(numbers: DataFrame) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(*keys))
     told = bins.select(*keys, "b", (upto - F.col("n")).alias("below"), upto.alias("upto"), F.floor((total - 1) / 2).alias("r1"), F.floor(total / 2).alias("r2"))
     middle = told.where("(r1 >= below AND r1 < upto) OR (r2 >= below AND r2 < upto)").drop("upto")
-    own = joined_by_load(binned, middle, [*keys, "b"], "inner").groupBy(*keys, "b", "x", "below", "r1", "r2").agg(F.sum("n").alias("n"))
+    own = joined_by_load(binned, middle, [*keys, "b"], "inner", small).groupBy(*keys, "b", "x", "below", "r1", "r2").agg(F.sum("n").alias("n"))
     last = F.col("below") + F.sum("n").over(Window.partitionBy(*keys, "b").orderBy("x"))
     placed = own.withColumn("last", last)
     hits = lambda r: F.when((F.col(r) < F.col("last")) & (F.col(r) >= F.col("last") - F.col("n")), F.col("x"))
@@ -313,9 +319,10 @@ def profile(table: DataFrame, checks: tuple[ColumnCheck, ...], load: str = "load
         F.coalesce(F.max("_number").cast("string"), F.max(F.when(~numeric, F.col("value")))).alias("hi"),
         F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), "value"))).alias("_top"),
     )
-    shape = shape.withColumn("top_value", F.col("_top.value")).withColumn("top_n", -F.col("_top.n")).drop("_top")
-    middle = medians(marked.where(numeric).select("load", "column_name", F.col("_number").alias("x"), "n"))
-    return cut(joined_by_load(shape, middle, ["load", "column_name"])), counts
+    shape = cut(shape.withColumn("top_value", F.col("_top.value")).withColumn("top_n", -F.col("_top.n")).drop("_top"))
+    small = shape.count() <= SHIPPED_LOADS
+    middle = medians(marked.where(numeric).select("load", "column_name", F.col("_number").alias("x"), "n"), small)
+    return joined_by_load(shape, middle, ["load", "column_name"], small=small), counts
 
 
 def standing_out(prof: DataFrame, counts: DataFrame, share: float = 0.15, factor: float = 5.0) -> DataFrame:
@@ -325,7 +332,8 @@ def standing_out(prof: DataFrame, counts: DataFrame, share: float = 0.15, factor
     share of one value, or by `factor` in the median. A value's usual share
     counts loads without it as 0.
     """
-    own = prof.withColumn("g", F.coalesce("group", F.lit("")))
+    own = cut(prof.withColumn("g", F.coalesce("group", F.lit(""))))
+    small = own.count() <= SHIPPED_LOADS
     p = own.withColumn("_m", F.col("n_missing") / F.col("n_rows")).withColumn("_i", F.col("n_ill") / F.col("n_rows"))
     usual = p.groupBy("g", "column_name").agg(F.percentile("_m", 0.5).alias("um"), F.percentile("_i", 0.5).alias("ui"), F.percentile("median", 0.5).alias("uc"))
     p = p.join(usual, ["g", "column_name"])
@@ -341,9 +349,9 @@ def standing_out(prof: DataFrame, counts: DataFrame, share: float = 0.15, factor
         ).alias("reasons"),
     )
     loads = own.select("load", "column_name", "g", "n_rows")
-    v = joined_by_load(counts.where("value IS NOT NULL").select("load", "column_name", "value", "n"), loads, ["load", "column_name"], "inner").withColumn("s", F.col("n") / F.col("n_rows"))
+    v = joined_by_load(counts.where("value IS NOT NULL").select("load", "column_name", "value", "n"), loads, ["load", "column_name"], "inner", small).withColumn("s", F.col("n") / F.col("n_rows"))
     often = v.where(F.col("s") >= share).select("g", "column_name", "value").distinct()  # at most 1/share values a load
-    own = joined_by_load(v.select("g", "load", "column_name", "value", "s"), often, ["g", "column_name", "value"], "left_semi")
+    own = joined_by_load(v.select("g", "load", "column_name", "value", "s"), often, ["g", "column_name", "value"], "left_semi", small)
     full = often.join(loads, ["g", "column_name"]).drop("n_rows").join(own.drop("g"), ["load", "column_name", "value"], "left").fillna(0.0, ["s"])
     mid = full.groupBy("g", "column_name", "value").agg(F.percentile("s", 0.5).alias("us"))
     single = (
