@@ -76,3 +76,29 @@ def test_null_empty_long_and_empty_table(spark):
     got = T.with_tails(df).collect()
     assert sorted((r["doc_id"], "no words" in r["reasons"]) for r in got) == [(1, True), (2, True), (3, False), (3, False)]
     assert T.not_prose(df.limit(0)).count() == 0
+
+
+PROSE = {
+    "de": "Der Brief lag auf dem Tisch, und niemand wusste, wer ihn gebracht hatte. Ich habe lange mit meiner Schwester gesprochen, weil sie am Montag nicht kommen kann. Das Fenster war offen, aber es wurde nicht kalt. Wir gehen nach dem Essen noch einmal zum Markt, wenn der Regen aufhört. Er sagte, dass die Arbeit in der neuen Stadt schwer sei, aber die Leute seien sehr freundlich zu ihm.",
+    "fr": "La lettre était sur la table et personne ne savait qui l'avait apportée. J'ai parlé longtemps avec ma soeur parce qu'elle ne peut pas venir lundi. La fenêtre était ouverte, mais il ne faisait pas froid. Nous irons encore une fois au marché après le repas si la pluie s'arrête. Il a dit que le travail dans la nouvelle ville était difficile, mais que les gens étaient très gentils avec lui.",
+    "pt": "A carta estava em cima da mesa e ninguém sabia quem a tinha trazido. Falei muito tempo com a minha irmã porque ela não pode vir na segunda. A janela estava aberta, mas não fazia frio. Vamos mais uma vez ao mercado depois do almoço se a chuva parar. Ele disse que o trabalho na nova cidade era difícil, mas que as pessoas eram muito simpáticas com ele.",
+    "it": "La lettera era sul tavolo e nessuno sapeva chi l'aveva portata. Ho parlato a lungo con mia sorella perché non può venire lunedì. La finestra era aperta, ma non faceva freddo. Andiamo ancora una volta al mercato dopo il pranzo se la pioggia si ferma. Ha detto che il lavoro nella nuova città era difficile, ma che le persone sono molto gentili con lui.",
+    "nl": "De brief lag op de tafel en niemand wist wie hem had gebracht. Ik heb lang met mijn zus gesproken omdat zij op maandag niet kan komen. Het raam was open, maar het was niet koud. We gaan na het eten nog een keer naar de markt als de regen ophoudt. Hij zei dat het werk in de nieuwe stad zwaar was, maar dat de mensen daar heel aardig voor hem zijn.",
+}
+LISTS = {"de": "Brief, Tisch, Schwester, Montag, Fenster, Essen, Markt, Regen, Arbeit, Stadt, Leute", "fr": "lettre, table, soeur, lundi, fenêtre, repas, marché, pluie, travail, ville, gens", "pt": "carta, mesa, irmã, segunda, janela, almoço, mercado, chuva, trabalho, cidade, pessoas"}
+
+
+def test_other_languages_are_prose_and_their_lists_are_not(spark, docs):
+    """A few documents of a language among many of another are measured by it, their lists flagged."""
+    rows = [(1000 + k, t, None) for k, t in enumerate(PROSE.values())] + [(2000 + k, "\n".join(f"- {w}" for w in t.split(", ") * 3), None) for k, t in enumerate(LISTS.values())]
+    every = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang_found string"))
+    flagged = {r["doc_id"] for r in T.not_prose(every).collect() if r["doc_id"] >= 1000}
+    assert flagged == {2000, 2001, 2002}
+    assert [T.Measure()(t)[2] for t in PROSE.values()] == list(PROSE)
+
+
+def test_every_statistic_is_sketched_and_scored(docs):
+    scored = T.with_tails(docs)
+    assert {f"z_{s}" for s in ("n_words", "mean_word_length", "symbol_ratio", "line_end_punct", "common_share")} <= set(scored.columns)
+    ref = {r["lang_found"]: r for r in T.references(T.sketches(T.document_statistics(docs))).collect()}
+    assert ref["en"]["c_n_words"] > 0 and ref["all"]["c_mean_word_length"] > 3

@@ -6,8 +6,8 @@
 2. Script-aware repair: tokens that mix scripts, or that stand wholly in
    look-alike letters of a script foreign to their text, give candidates in
    their dominant script, then in the dominant script of the text. A candidate
-   is taken only if the corpus vocabulary has it: as a token written in one
-   script anywhere, or as what two different spellings both lead to.
+   is taken only if the corpus vocabulary has it as a token written in one
+   script anywhere.
 
 The vocabulary is distributed and joined with the candidates by hash; nothing
 of it reaches the driver or is broadcast.
@@ -118,11 +118,11 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str = "text") -> DataF
     base = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     ready = base.select("_id", "_text", F.explode(F.array(prepare("_text"))).alias("_p")).select("_id", "_text", "_p.form", "_p.ways")
     ways = ready.where(F.size("ways") > 0).select("_id", F.explode("ways").alias("w")).select("_id", "w.token", "w.repaired", "w.rank")
-    wanted = ways.groupBy("repaired").agg(F.count_distinct("token").alias("spellings"))
+    wanted = ways.select("repaired").distinct()
     tokens = ready.select(F.explode(F.split(F.lower("form"), r"[^\p{L}\p{M}\p{N}]+")).alias("word"))
     one_script = F.col("word").rlike(r"^[\p{IsLatin}\p{N}\p{M}]+$") | F.col("word").rlike(r"^[\p{IsCyrillic}\p{N}\p{M}]+$") | F.col("word").rlike(r"^[\p{IsGreek}\p{N}\p{M}]+$")
     vocabulary = tokens.where("word <> ''").distinct().where(one_script)
-    known = wanted.join(vocabulary, F.lower(wanted["repaired"]) == vocabulary["word"], "left").where("word IS NOT NULL OR spellings > 1").select("repaired")
+    known = wanted.join(vocabulary, F.lower(wanted["repaired"]) == vocabulary["word"], "left_semi")
     best = ways.join(known, "repaired").groupBy("_id", "token").agg(F.min_by("repaired", "rank").alias("repaired"))
     per_row = best.groupBy("_id").agg(F.collect_list(F.struct("token", "repaired")).alias("pairs"))  # no more than a text has tokens
     done = ready.select("_id", "_text", "form").join(per_row, "_id", "left")

@@ -6,7 +6,10 @@ as mergeable KLL quantile sketches per language, so any number of partitions
 or loads can be merged. Each statistic becomes a robust z-score (distance to
 the language's median in units of its interquartile range over 1.349, with a
 stated least unit), and documents far out on the bad side of a statistic are
-flagged.
+flagged. Medians and units of a language are drawn towards those of all
+languages as if these had PRIOR_DOCUMENTS documents, so a language with few
+documents is measured mostly by the others, and nothing changes suddenly with
+their number.
 
 Null and empty texts have zero counts and null ratios and are flagged as they
 hold no prose. Repeated texts are measured alike.
@@ -27,11 +30,19 @@ from veilgauge.session import spread
 COMMON_WORDS = {
     "en": "the of and to a in is was for that it with as on be at by i he she they we you my your his her their this not are have has had but or from after before about there which an were so if what do does did how when why who than then no been will can may all any me him them out up would could should our us who into over more most only because since until while though although let just also very some one once again please".split(),
     "es": "de la que el en y a los del se las por un con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta desde está mi porque qué tu te cómo cada donde dónde hace llevo nos cuál ni esa ese eso hay usted puede unos unas uno fueron he tan así aunque mucho mucha nadie".split(),
+    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich wir ihr wenn kann dann unter gegen schon was doch diese dieser mich mir uns hatte keine weil wo sehr immer wieder ihre ihren seine seinen".split(),
+    "fr": "le la les de des du un une et en à est que qui dans pour par sur au aux ce cette ces il elle on nous vous ils elles je tu ne pas plus se sa son ses leur leurs avec sans mais ou où donc comme si tout tous très bien été être avoir a ont sont était avait fait lui y même aussi après avant chez entre encore quand depuis peu moi mon ma mes votre notre dont cela".split(),
+    "pt": "o a os as de do da dos das em no na nos nas um uma uns umas e que é para por com não se ao aos à às mais mas como foi ele ela eles elas eu você nós lhe me seu sua seus suas ou quando muito já também só pelo pela até isso isto ser são está era tem tinha há sem mesmo depois ainda entre sobre porque onde ter minha meu este esta esse essa foram nem".split(),
+    "it": "il lo la i gli le di del della dei delle dello a al alla ai alle da dal dalla in nel nella un uno una e è che non per con su sul sulla si se ma come più anche ci mi ti ha ho hanno sono era erano questo questa quello quella suo sua suoi loro io lui lei noi voi essere stato fatto o quando dove chi cui perché molto già ancora dopo prima tutto tutti".split(),
+    "nl": "de het een en van in is dat op te voor met zijn die niet aan er om ook als dan maar bij nog uit naar door over ze hij zij wij je ik we hebben heeft had was werd worden wordt kan kon geen meer wel zo tot tegen na al of deze dit daar hier toen haar hun mijn ons zou moet veel waar omdat wat wie onder".split(),
 }
 COMMON_HAN = "的一是不了在人有我他这们来到时大地为子中你说生国年着就那和要她出也得里后自以会家可下而过天去能对小多然于心学么之都好看起发当没成只如事把还用第样道想作种开手十用主行方又如前所本见经头面公同三已老从动两长知民间什最分将二问间吗呢吧请您给被让向关但因或"
 
-#: Statistics whose tails count: least unit of the z-score (so that a statistic that hardly varies in prose doesn't
-#: flag trifles), and the units from which on a document is flagged below and above (None: that side is no fault).
+#: Languages whose common words are told apart from those of texts in any other language of the list: a text counts as one of the
+#: others only with so many times their common words.
+MAIN, CLEARLY = ("en", "es"), 1.2
+#: Every statistic is sketched and scored: least unit of the z-score (so that a statistic that hardly varies in prose doesn't
+#: flag trifles), and the units from which on a document is flagged below and above (None: that side is no fault of prose).
 TAILS = {
     "common_share": (0.045, 6.0, 4.0),
     "prose_share": (0.08, 5.0, None),
@@ -39,9 +50,12 @@ TAILS = {
     "digit_ratio": (0.02, None, 10.0),
     "word_variety": (0.30, 5.0, None),
     "mark_ratio": (0.05, None, 5.0),
+    "n_words": (1.0, None, None),
+    "mean_word_length": (0.1, None, None),
+    "line_end_punct": (0.05, None, None),
 }
-#: A language with fewer documents than this is measured against all languages.
-LEAST_DOCUMENTS = 30
+#: A language's centres and units count as many documents as it has, those of all languages as this many.
+PRIOR_DOCUMENTS = 30
 STATS = tuple(TAILS)
 
 _LETTER, _DIGIT, _SPACE, _BREAK, _END, _PUNCT, _HAN, _SYMBOL, _MARK, _BAR = range(10)
@@ -108,14 +122,34 @@ class Measure:
     def __init__(self) -> None:
         self.kinds, self.low = _table(), _lower_table()
         self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(63, _B, np.uint64)]))
-        self.common = {k: _word_hash(w) for k, w in COMMON_WORDS.items()}
+        # the words of all languages in one table, each with the languages that have it as bits
+        self.langs = list(COMMON_WORDS)
+        bits: dict[int, int] = {}
+        for k, words in enumerate(COMMON_WORDS.values()):
+            for h in _word_hash(words).tolist():
+                bits[h] = bits.get(h, 0) | 1 << k
+        self.words = np.array(sorted(bits), np.uint64)
+        self.bits = np.array([bits[h] for h in sorted(bits)], np.uint8)
+        self.main = sum(1 << self.langs.index(k) for k in MAIN)
         self.han = np.zeros(0x20000, bool)
         self.han[[ord(c) for c in COMMON_HAN]] = True
         self.marks = np.array([ord(c) for c in ",;:|\t"], np.uint32)
 
-    def _in(self, h: np.ndarray, lang: str) -> np.ndarray:
-        own = self.common[lang]
-        return own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
+    def _languages(self, h: np.ndarray) -> np.ndarray:
+        """For each word the languages of which it is a common word, as bits."""
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, self.bits[at], 0)
+
+    def _language(self, own: np.ndarray, length: np.ndarray) -> str:
+        """The language most of whose common words stand in the text; `und` if too few of any do."""
+        seen = np.bincount(own[length > 1], minlength=1 << len(self.langs))
+        which = np.flatnonzero(seen)
+        hits = {k: int(seen[which[(which >> i) & 1 == 1]].sum()) for i, k in enumerate(self.langs)}
+        lang = max(MAIN, key=lambda k: hits[k])
+        other = max(hits, key=lambda k: hits[k])
+        if other not in MAIN and hits[other] > CLEARLY * hits[lang]:
+            lang = other
+        return lang if len(own) and hits[lang] >= 0.1 * len(own) else "und"
 
     def __call__(self, text: str | None) -> tuple:
         if not text:
@@ -140,15 +174,9 @@ class Measure:
         else:
             h = np.zeros(0, np.uint64)
         where_han = np.flatnonzero(han)
-        hits = {k: self._in(h, k) & (length > 1) for k in self.common} if len(h) else {k: np.zeros(0, bool) for k in self.common}
-        lang = max(hits, key=lambda k: int(hits[k].sum()))
-        if len(where_han) > 0.2 * seen:
-            lang = "zh"
-        elif not len(h) or hits[lang].sum() < 0.1 * len(h):
-            lang = "und"  # too few common words to tell
-        either = np.zeros(len(h), bool)
-        for k in self.common:
-            either |= self._in(h, k)
+        bits = self._languages(h)
+        lang = "zh" if len(where_han) > 0.2 * seen else self._language(bits, length)
+        either = bits & (self.main if lang in (*MAIN, "und", "zh") else 1 << self.langs.index(lang)) != 0
         # units: words, and single Han characters
         unit_at = np.concatenate([start, where_han])
         common = np.concatenate([either, self.han[codes[where_han]]])
@@ -219,7 +247,7 @@ def sketches(stats: DataFrame, k: int = 400) -> DataFrame:
     Each task keeps one sketch per language and statistic, so a language that
     holds most rows costs no more than any other.
     """
-    long = stats.select("lang_found", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("x")) for s in STATS])).alias("e")).select("lang_found", "e.*").where("x IS NOT NULL")
+    long = stats.select("lang_found", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("x")) for s in STATS])).alias("e")).select("lang_found", "e.*").where("x IS NOT NULL")
     own = long.where("lang_found <> 'und'").groupBy("lang_found", "statistic").agg(F.expr(f"kll_sketch_agg_double(x, {k})").alias("sketch"))
     pooled = own.groupBy("statistic").agg(F.expr(f"kll_merge_agg_double(sketch, {k})").alias("sketch")).select(F.lit("all").alias("lang_found"), "statistic", "sketch")
     return own.unionByName(pooled)
@@ -241,13 +269,14 @@ def scored(stats: DataFrame) -> DataFrame:
     `stats` is read twice; have it cut before (`with_tails` does).
     """
     ref = references(sketches(stats))
-    usual = ref.where(F.col("n") >= LEAST_DOCUMENTS)
-    total = usual.where("lang_found = 'all'").drop("lang_found", "n")
-    own = usual.where("lang_found <> 'all'").drop("n")
+    total = ref.where("lang_found = 'all'").drop("lang_found", "n")
+    own = ref.where("lang_found <> 'all'")
     renamed = total.select(*[F.col(c).alias(f"all_{c}") for c in total.columns])
     # a row per language and one for all: never more rows than languages known here
     joined = stats.join(F.broadcast(own), "lang_found", "left").join(F.broadcast(renamed), F.lit(True), "left")
-    z = {s: (F.col(s) - F.coalesce(f"c_{s}", f"all_c_{s}")) / F.coalesce(f"u_{s}", f"all_u_{s}") for s in STATS}
+    n = F.coalesce(F.col("n"), F.lit(0))
+    towards = lambda c: (n * F.coalesce(c, F.lit(0.0)) + PRIOR_DOCUMENTS * F.col(f"all_{c}")) / (n + PRIOR_DOCUMENTS)
+    z = {s: (F.col(s) - towards(f"c_{s}")) / towards(f"u_{s}") for s in STATS}
     tails = []
     for s, (_, below, above) in TAILS.items():
         if below is not None:
