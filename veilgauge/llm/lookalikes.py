@@ -19,9 +19,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgauge.session import cut
+
 # Letters of other scripts with the Latin letter they look like.
 CYRILLIC_LOOKALIKES = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "Ԛ": "Q", "Ԝ": "W",
@@ -116,32 +118,44 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str = "text") -> DataF
     prepare = F.pandas_udf(_prepare, "struct<form:string,ways:array<struct<token:string,repaired:string,rank:int>>>")
     replace = F.pandas_udf(_replace, "string")
     base = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    ready = base.select("_id", "_text", F.explode(F.array(prepare("_text"))).alias("_p")).select("_id", "_text", "_p.form", "_p.ways")
+    # written once: every text goes through Python in one pass
+    ready = cut(base.select("_id", "_text", F.explode(F.array(prepare("_text"))).alias("_p")).select("_id", "_text", "_p.form", "_p.ways"))
     ways = ready.where(F.size("ways") > 0).select("_id", F.explode("ways").alias("w")).select("_id", "w.token", "w.repaired", "w.rank")
     wanted = ways.select("repaired").distinct()
     tokens = ready.select(F.explode(F.split(F.lower("form"), r"[^\p{L}\p{M}\p{N}]+")).alias("word"))
-    one_script = F.col("word").rlike(r"^[\p{IsLatin}\p{N}\p{M}]+$") | F.col("word").rlike(r"^[\p{IsCyrillic}\p{N}\p{M}]+$") | F.col("word").rlike(r"^[\p{IsGreek}\p{N}\p{M}]+$")
+    one_script = F.col("word").rlike(r"^(?:[\p{IsLatin}\p{N}\p{M}]+|[\p{IsCyrillic}\p{N}\p{M}]+|[\p{IsGreek}\p{N}\p{M}]+)$")
     vocabulary = tokens.where("word <> ''").distinct().where(one_script)
     known = wanted.join(vocabulary, F.lower(wanted["repaired"]) == vocabulary["word"], "left_semi")
     best = ways.join(known, "repaired").groupBy("_id", "token").agg(F.min_by("repaired", "rank").alias("repaired"))
-    per_row = best.groupBy("_id").agg(F.collect_list(F.struct("token", "repaired")).alias("pairs"))  # no more than a text has tokens
-    done = ready.select("_id", "_text", "form").join(per_row, "_id", "left")
-    return done.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), replace("form", "pairs").alias("form"))
+    per_row = cut(best.groupBy("_id").agg(F.collect_list(F.struct("token", "repaired")).alias("pairs")))  # no more than a text has tokens
+    changed = ready.join(per_row, "_id").select("_id", "_text", replace("form", "pairs").alias("form"))
+    same = ready.join(per_row, "_id", "left_anti").select("_id", "_text", "form")
+    return same.unionByName(changed).select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "form")
+
+
+def _hashes(c: str, name: str) -> list[Column]:
+    """Two independent 64-bit hashes: equal for different strings with a chance of about 2^-128, and far shorter to shuffle than texts."""
+    return [F.xxhash64(F.lit(k), F.col(c)).alias(f"{name}{k}") for k in (1, 2)]
 
 
 def alike_pairs(forms: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Pairs of rows with one form but different strings, smaller id first.
 
-    Different strings of a form are paired first and only then expanded to
-    their rows, so copies of one string are never compared with each other.
-    Equal strings make no pair; null and empty texts make none.
+    Only rows of a form with at least two strings are gone on with. Different
+    strings of a form are paired first and only then expanded to their rows,
+    so copies of one string are never compared with each other. Forms and
+    strings are compared by 128-bit hashes. Equal strings make no pair; null
+    and empty texts make none.
     """
-    rows = forms.where("form <> ''").select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), "form")
-    strings = rows.select("form", "_t").distinct()
-    other = strings.withColumnRenamed("_t", "_u")
-    different = strings.join(other, "form").where("_t < _u").select("_t", "_u")
-    left = different.join(rows.select("_i", "_t"), "_t").select("_i", "_u")
-    both = left.join(rows.select(F.col("_i").alias("_j"), F.col("_t").alias("_u")), "_u")
+    rows = cut(forms.where("form <> ''").select(F.col(id_col).alias("_i"), *_hashes(text_col, "t"), *_hashes("form", "f")))
+    text = F.struct("t1", "t2")
+    several = rows.groupBy("f1", "f2").agg(F.min(text).alias("a"), F.max(text).alias("z")).where("a <> z").select("f1", "f2")
+    rows = cut(rows.join(several, ["f1", "f2"], "left_semi"))
+    strings = rows.select("f1", "f2", "t1", "t2").distinct()
+    other = strings.withColumnsRenamed({"t1": "u1", "t2": "u2"})
+    different = strings.join(other, ["f1", "f2"]).where(F.struct("t1", "t2") < F.struct("u1", "u2")).select("t1", "t2", "u1", "u2")
+    left = rows.select("_i", "t1", "t2").join(different, ["t1", "t2"]).select("_i", "u1", "u2")
+    both = left.join(rows.select(F.col("_i").alias("_j"), F.col("t1").alias("u1"), F.col("t2").alias("u2")), ["u1", "u2"])
     return both.select(F.least("_i", "_j").alias(f"{id_col}_a"), F.greatest("_i", "_j").alias(f"{id_col}_b"))
 
 
