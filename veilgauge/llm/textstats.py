@@ -130,6 +130,7 @@ class Measure:
                 bits[h] = bits.get(h, 0) | 1 << k
         self.words = np.array(sorted(bits), np.uint64)
         self.bits = np.array([bits[h] for h in sorted(bits)], np.uint8)
+        self.having = (np.arange(1 << len(self.langs))[:, None] >> np.arange(len(self.langs))) & 1
         self.main = sum(1 << self.langs.index(k) for k in MAIN)
         self.han = np.zeros(0x20000, bool)
         self.han[[ord(c) for c in COMMON_HAN]] = True
@@ -142,9 +143,7 @@ class Measure:
 
     def _language(self, own: np.ndarray, length: np.ndarray) -> str:
         """The language most of whose common words stand in the text; `und` if too few of any do."""
-        seen = np.bincount(own[length > 1], minlength=1 << len(self.langs))
-        which = np.flatnonzero(seen)
-        hits = {k: int(seen[which[(which >> i) & 1 == 1]].sum()) for i, k in enumerate(self.langs)}
+        hits = dict(zip(self.langs, (np.bincount(own[length > 1], minlength=len(self.having)) @ self.having).tolist()))
         lang = max(MAIN, key=lambda k: hits[k])
         other = max(hits, key=lambda k: hits[k])
         if other not in MAIN and hits[other] > CLEARLY * hits[lang]:
