@@ -45,9 +45,11 @@ VIA = r"calle|c/|cl\.|plaza|pza\.?|pl\.|avenida|avda\.?|av\.|paseo|p\.º|camino|
 #: Words with which no name begins, even capitalised at the start of a sentence.
 NO_NAME = set("honestly under dear according since please however after before although because between during still nobody everyone everybody somebody someone nothing something note record entry doctor person chatbot target other agenda checklist contacts identity file invoice referral resume résumé meet write use version seen only divorced widowed married single several visitors people staff most each every home services share login hello hi thanks thank regards yes sure well maybe perhaps today tomorrow yesterday monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december firmado paciente señora señor estimado estimada hola gracias".split())
 
-_W = r"(?:[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?(?:[^\W\d_A-ZÀ-ÖØ-Þ]+(?:[A-Z][^\W\d_A-ZÀ-ÖØ-Þ]+)?|[A-ZÀ-ÖØ-Þ]+))"
+#: Capital letters of the Latin script, as the inside of a character class.
+_U = "A-ZÀ-ÖØ-Þ" + "".join(chr(o) for o in (*range(0x100, 0x250), *range(0x1E00, 0x1F00)) if chr(o).isupper())
+_W = rf"(?:[{_U}](?:['’][{_U}])?(?:[^\W\d_{_U}]+(?:[{_U}][^\W\d_{_U}]+)?|[{_U}]+))"
 _CAP = rf"{_W}(?:['’-](?:{_W}|s\b|S\b))*(?![^\W_])"
-_T = rf"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Srta|Rev|MR|MRS|MS|DR|PROF)\.|[A-Z]\.(?!\w)|{_CAP})"
+_T = rf"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Srta|Rev|MR|MRS|MS|DR|PROF)\.|[{_U}]\.(?!\w)|{_CAP})"
 _SEQ = re.compile(rf"(?<![\w'’@.+/=-])(?:{_T})(?:,?[ \n]+(?:(?:{PARTICLES})[ \n]+)?(?:{_T}))+")
 _TOKENS = re.compile(rf"{_T}|(?:{PARTICLES})(?=[ \n])|,", re.I)
 _TITLE_ONLY = re.compile(rf"^(?:{'|'.join(TITLES)})\.?$", re.I)
@@ -138,7 +140,7 @@ _R9 = re.compile(r"\d+")
 _R10 = re.compile(r"[ \n]?\.?\d")
 _R11 = re.compile(r"\D")
 _R12 = re.compile(r"[a-z]$")
-_R13 = re.compile(r"[ \n][a-z]+ (?:cases|forward|traffic)")
+_R13 = re.compile(r"[ \n][a-z]+[ \n][a-z]+")
 _R14 = re.compile(r"-[^\W\d_]+")
 _R15 = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _R16 = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*,")
@@ -170,7 +172,7 @@ class Scanner:
         self.plain = plain
         self.particles = np.unique(np.concatenate([self.words(p) for p in PARTICLES.split("|")]))
         self.capital = np.zeros(0x20000, bool)
-        self.capital[[o for o in range(0x250) if chr(o).isupper()]] = True
+        self.capital[[o for o in (*range(0x250), *range(0x1E00, 0x1F00)) if chr(o).isupper()]] = True
 
     def plainly(self, text: str) -> tuple[str, np.ndarray | None]:
         """(text for matching, place of each of its characters in `text`; None if they are the same)."""
@@ -231,9 +233,6 @@ class Scanner:
         out = []
         for m in (m for c in _DIGITS.finditer(s) if sum(map(str.isdigit, c.group())) >= 6 for m in _RUN.finditer(s, max(0, c.start() - 6), c.end() + 3)):
             run = m.group()
-            digits = sum(map(str.isdigit, run))
-            if len(run) < 8 or digits < 6 or (digits < 9 and not run[0].isalpha() and not (digits == 8 and run[-1].isalpha())):
-                continue  # shorter than any number of a person
             ways = {(0, len(run))}
             for cut in _R4.finditer(run):  # a sentence may have ended, a line may be a new one
                 ways.add((0, cut.start()))
@@ -253,8 +252,8 @@ class Scanner:
                 if digits < 6:
                     continue
                 shape = [int(bool(p.match(part))) for p in SHAPES.values()]
-                if not any(shape) and (seen or digits < 9):
-                    continue
+                if not any(shape) and seen:
+                    continue  # of a run without a shape only the longest part
                 seen = True
                 groups = _R9.findall(part)
                 after = self._after(s, start + b, 1)
@@ -262,7 +261,7 @@ class Scanner:
                 base = (
                     *shape, min(digits, 16), min(len(groups), 8), int("+" in part), int("(" in part), int("/" in part), int("." in part), int("-" in part), int(" " in part), int(part[0] == "0"), int(groups[0][0] == "9"), int(groups[0][0] == "1"),
                     int(part[-1].isalpha()), int(part[0].isalpha()), int(any(w in PHONE_NEAR for w in near[-3:])), int(any(w in ID_NEAR for w in near[-4:])), int(any(w in DECOY_NEAR for w in near[-1:])), int(after in ("%", "/", "-", "_") or after.isdigit()),
-                    int(before in ("-", "/", "_", "#", "K")), int("\n" in part), int(bool(_R10.match(self._after(s, start + b, 3)))),
+                    int(before in ("-", "/", "_", "#")), int("\n" in part), int(bool(_R10.match(self._after(s, start + b, 3)))),
                 )
                 if any(shape[k] for k, n in enumerate(SHAPES) if n in PHONE_SHAPES) or not any(shape):
                     out.append(Span(start + a, start + b, "phone", (1, *base)))
@@ -307,12 +306,20 @@ class Scanner:
             int(self._before(s, start, 2) == ", "), int(bool(_R13.match(self._after(s, end, 20)))), int(self._after(s, end, 1) in (",", ".", ";", "\n", ")", "")), int(any(w.endswith("s") and w in _COMMON for w in low)), int("\n" in s[start:end]),
         )
 
-    def _run(self, run: list[tuple[int, int, str]], propose) -> None:
-        """Proposals from a run of capitalised tokens that may all belong to names."""
+    def _run(self, s: str, run: list[tuple[int, int, str]], propose) -> None:
+        """Proposals from a run of capitalised tokens that may all belong to names.
+
+        A run is proposed whole and, as a name may end before it does, also up
+        to a word for an organisation or a place and up to a line break.
+        """
         while run and run[-1][2] == ",":
             run = run[:-1]
-        if run and run[-1][2].lower() in PLACE_AFTER and not any(w.lower() in self.lexicon.first_names or _TITLE_ONLY.match(w) for _, _, w in run):
-            return  # an organisation or a place, with nothing of a person about it
+        if not run:
+            return
+        ends = [len(run)]
+        if run[-1][2].lower() in PLACE_AFTER:
+            ends.append(len(run) - 1)
+        ends += [k for k in range(1, len(run)) if "\n" in s[run[k - 1][1] : run[k][0]]]
         titled, fresh = False, True
         for k, (a, _, word) in enumerate(run):
             if _TITLE_ONLY.match(word):
@@ -321,18 +328,20 @@ class Scanner:
             if word == "," or (word.lower() in _PARTS and not titled):
                 continue
             low = word.lower()
-            if (titled or len(run) - k >= 2) and (fresh or low in self.lexicon.first_names or low.split("-")[0] in self.lexicon.family_names):
-                propose(a, run[-1][1], titled)
+            if fresh or low in self.lexicon.first_names or low.split("-")[0] in self.lexicon.family_names:
+                for n in ends:
+                    if run[n - 1][2] != "," and n - k >= (1 if titled else 2):
+                        propose(a, run[n - 1][1], titled)
             fresh = titled = False
 
     def names(self, s: str, low: str, codes: np.ndarray, h: np.ndarray, first_at: np.ndarray, last_at: np.ndarray) -> list[Span]:
         lex = self.lexicon
         given, family = lex.hits(lex.first, h), lex.hits(lex.family, h)
-        spots: dict[int, tuple[int, bool]] = {}
+        spots: dict[tuple[int, int], bool] = {}
 
         def propose(start: int, end: int, titled: bool) -> None:
-            if end - start >= 3 and (start not in spots or spots[start][0] < end):
-                spots[start] = (end, titled or spots.get(start, (0, False))[1])
+            if end - start >= 2:
+                spots[start, end] = titled or spots.get((start, end), False)
 
         upper = self.capital[codes[first_at]] if len(first_at) else np.zeros(0, bool)
         pair = np.zeros(len(upper), bool)
@@ -356,10 +365,10 @@ class Scanner:
             for t in (*_TOKENS.finditer(s, m.start(), m.end()), None):
                 word = t.group() if t else ""
                 plain = word.lower()
-                if t and (plain in lex.first_names or _TITLE_ONLY.match(word) or plain not in _STOP):
+                if t and (plain in lex.first_names or _TITLE_ONLY.match(word) or plain not in _STOP or (run and plain in PLACE_AFTER)):
                     run.append((t.start(), t.end(), word))
                     continue
-                self._run(run, propose)
+                self._run(s, run, propose)
                 run = []
         for k in np.flatnonzero(given):
             a = int(first_at[k])
@@ -389,7 +398,7 @@ class Scanner:
                 v = _AFTER_LABEL.match(s, m.end())
                 if v:
                     propose(v.start("name"), v.end("name"), True)
-        return [Span(a, e, "person_name", self._name(s, a, e, t)) for a, (e, t) in spots.items()]
+        return [Span(a, e, "person_name", self._name(s, a, e, t)) for (a, e), t in spots.items()]
 
     def _name(self, s: str, start: int, end: int, titled: bool) -> tuple[int, ...]:
         lex = self.lexicon
@@ -496,11 +505,55 @@ def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def spans(df, fitted: dict, id_cols: tuple[str, ...], text_col: str = "text"):
+def saved(spark, fitted: dict) -> str:
+    """`fitted` written to the shared folder and sent to the executors as a file; its name. A file of its own can be loaded again with `loaded`."""
+    import pickle
+    import uuid
+
+    from pyarrow import fs
+
+    from veilgauge.session import shared_dir
+
+    name = f"pii-{uuid.uuid4().hex}.model"
+    uri = f"{shared_dir(spark)}/{name}"
+    uri = uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri
+    where, path = fs.FileSystem.from_uri(uri)
+    where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with where.open_output_stream(path) as out:
+        out.write(pickle.dumps(fitted))
+    spark.sparkContext.addFile(uri)
+    return name
+
+
+def loaded(name: str) -> dict:
+    """What `saved` wrote, by its name in a task or by its path."""
+    import os
+    import pickle
+
+    from pyspark import SparkFiles
+
+    with open(name if os.path.isabs(name) else SparkFiles.get(name), "rb") as f:
+        return pickle.load(f)  # noqa: S301  written by this application
+
+
+_SCANNERS: dict[str, Scanner] = {}
+
+
+def _scanner(name: str) -> Scanner:
+    """The scanner of a saved model, made once in each Python worker."""
+    if name not in _SCANNERS:
+        f = loaded(name)
+        _SCANNERS.clear()
+        _SCANNERS[name] = Scanner(f["first"], f["family"], f["other"], f["models"])
+    return _SCANNERS[name]
+
+
+def spans(df, fitted: dict | str, id_cols: tuple[str, ...], text_col: str = "text"):
     """(ids, start_at, end_at, pii_kind, probability): one row per span of each row of `df`; places are 1-based code points, end_at excluded.
 
-    `fitted` comes from `pii_training.fitted`; its size is bounded by that
-    module's parameters, so it is broadcast.
+    `fitted` comes from `pii_training.fitted`, or is the name that `saved`
+    gave it; the model is sent to the executors as a file and loaded once in
+    each Python worker, whatever the size of the lexicon.
     """
     from collections.abc import Iterator
 
@@ -509,13 +562,12 @@ def spans(df, fitted: dict, id_cols: tuple[str, ...], text_col: str = "text"):
 
     from veilgauge.session import spread
 
-    shipped = df.sparkSession.sparkContext.broadcast(fitted)
+    name = fitted if isinstance(fitted, str) else saved(df.sparkSession, fitted)
     kinds = dict(df.dtypes)
     base = spread(df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(id_cols)], F.col(f"`{text_col}`").alias("_t")).where("_t IS NOT NULL AND _t <> ''"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = shipped.value
-        scanner = Scanner(f["first"], f["family"], f["other"], f["models"])
+        scanner = _scanner(name)
         for batch in batches:
             found = scanner.found(list(batch["_t"]))
             rows = np.repeat(np.arange(len(batch)), [len(x) for x in found])
@@ -528,16 +580,15 @@ def spans(df, fitted: dict, id_cols: tuple[str, ...], text_col: str = "text"):
     return base.mapInPandas(run, schema).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(id_cols)})
 
 
-def redacted(df, fitted: dict, text_col: str = "text", out_col: str = "redacted"):
+def redacted(df, fitted: dict | str, text_col: str = "text", out_col: str = "redacted"):
     """`df` with the column `out_col`: the text with typed placeholders; null stays null, an existing column of that name is replaced."""
     import pandas as pd
     from pyspark.sql import functions as F
 
-    shipped = df.sparkSession.sparkContext.broadcast(fitted)
+    name = fitted if isinstance(fitted, str) else saved(df.sparkSession, fitted)
 
     def run(batches):
-        f = shipped.value
-        scanner = Scanner(f["first"], f["family"], f["other"], f["models"])
+        scanner = _scanner(name)
         for texts in batches:
             own = [None if t is None else t for t in texts]
             yield pd.Series([None if t is None else redact(t, x) for t, x in zip(own, scanner.found(own))])

@@ -24,13 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgauge.llm import boosting
-from veilgauge.llm.pii import PARTICLES, TITLES, Scanner
+from veilgauge.llm.pii import _COMMON, PARTICLES, TITLES, Scanner
 
 #: Rows taken from each of the two tables, and sentences written.
 TRAIN_ROWS = 8000
 WRITTEN = 7000
-#: Names kept in the lexicon, most frequent first.
-MOST_NAMES = 50_000
 KIND_OF = {"full_name": "person_name", "email": "email", "phone": "phone", "ssn_or_nin": "identity_number", "address": "street_address"}
 
 # Sentences with slots; {name} {email} {phone} {id} {address} are what is to be found.
@@ -130,7 +128,7 @@ job: {Title}
 used to be {Title}
 works as {Title}
 {Title} at the harbour office
-{invented} welder, 19, E. Logged as entry 4.
+{invented} welder, 19, E. Entry 4 of the day.
 Early {invented}'s disease.
 May and June were busy at {first} station.
 April and August are quiet in Victoria.
@@ -142,10 +140,6 @@ Most visitors from Nevada and New Mexico come by train.
 The Third Floor and The Ferry Terminal are closed.
 Home | Services | The Community Hall | Login | Terms
 Share Tweet Pin Share Tweet Pin
-Honestly, {invented} Street was closed when Under LOT was read.
-Checklist Sept. {dig2}, {dig4}
-The handlee @wardround or @frontdesk does not answer.
-Under LOT {dig4}-{dig4} the Office must keep the Risk Assessment.
 St. {invented}'s infirmary and the St. {first} Ward share a car park.
 Invoice {dig4}-{dig4}-{dig2} came to 1,250.00 in total.
 Under ISBN 978-0-{dig2}-{dig6}-{dig1} the office must keep it.
@@ -160,19 +154,21 @@ ideally before {dig4}-{dig2}-{dig2} a second one
 paramedic Ohio {dig2} {dig4} {dig1}.{dig1}%
 chef LS {dig2} {dig3} {dig1}.{dig1}%
 Q{dig3} teacher SW {dig2} {dig4}
-The grid SJ {dig3} {dig3} sheet was missing.
-Logged as entry K00{dig6}.
-(ref K00{dig6})
-{dig2} road traffic cases came in last week.
-Under step {dig1} Way forward the office must act.
-The room {dig2} Court wing sheet was missing.
+Our reference is {dig8}.
+Quote {dig9} whenever you write to us.
+{dig2} road works began last week.
+Step {dig1} Way ahead for the team.
+Honestly, {invented} Street was closed all day.
+Follow @{invented} or @{first} for news.
+Notes of {dig2}, {dig4}
+The Office must keep the Risk Register.
+Map square SJ {dig3} {dig3} is blank.
 He was seen in ward {dig2}, close observation.
 There were {dig2} people in the park.
 He put {dig1} boxes on the drive.
 It took {dig2} minutes all the way.
 She lost {dig1} kilos and can walk.
 We saw {dig2} houses on the hill that day, near the court.
-The handle @wardround is not monitored.
 See you at the office at noon.
 Look at example dot points at the end.
 Use the short code 111 out of hours.
@@ -278,13 +274,24 @@ _TRUE = {"name": "person_name", "last": "person_name", "esname": "person_name",
 _TITLE = re.compile(rf"^(?:(?:{'|'.join(TITLES)})\.?\s+)+", re.I)
 
 
-def written(values: dict[str, list[str]], first: list[str], family: list[str], n: int = WRITTEN, seed: int = 7) -> list[tuple[str, list[tuple[int, str]]]]:
-    """(text, true (start, kind)) of n sentences."""
+def labels(found: list[tuple[int, int, str]], true: list[tuple[int, int, str]]) -> list[int]:
+    """1 for the proposals that are a true span: of those with its start and kind the ones whose end is its own, or nearest to it where none is."""
+    nearest: dict[tuple[int, str], int] = {}
+    for a, b, kind in found:
+        for t, e, k in true:
+            if a == t and kind == k:
+                nearest[a, kind] = min(nearest.get((a, kind), 1 << 30), abs(b - e))
+    ends = {(t, k): e for t, e, k in true}
+    return [int((a, kind) in nearest and abs(b - ends[a, kind]) == nearest[a, kind]) for a, b, kind in found]
+
+
+def written(values: dict[str, list[str]], first: list[str], family: list[str], n: int = WRITTEN, seed: int = 7, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, true (start, end, kind)) of n sentences."""
     slots = _Slots(values, first, family, seed)
     r = random.Random(seed + 1)
     out = []
     for k in range(n):
-        lines = [r.choice(POSITIVE if r.random() < 0.55 else NEGATIVE) for _ in range(r.choice((1, 1, 2)))]
+        lines = [r.choice(positive if r.random() < 0.55 else negative) for _ in range(r.choice((1, 1, 2)))]
         text, true = "", []
         for line in lines:
             at = 0
@@ -294,7 +301,7 @@ def written(values: dict[str, list[str]], first: list[str], family: list[str], n
                 value = slots.get(m[1])
                 if kind := _TRUE.get(m[1]):
                     t = _TITLE.match(value) if kind == "person_name" else None
-                    true.append((len(text) + (t.end() if t else 0), kind))
+                    true.append((len(text) + (t.end() if t else 0), len(text) + len(value), kind))
                 text += value
             text += line[at:] + r.choice([" ", "\n"])
         case = r.random()
@@ -323,7 +330,7 @@ def fitted(inferred: DataFrame, harmless: DataFrame, text_col: str = "text", id_
     """
     taken = _bounded(inferred.where("inferred_value IS NOT NULL"), "attr_id", 2 * TRAIN_ROWS).select("attribute", "inferred_value", "evidence").collect()
     calm = _bounded(harmless.where(f"`{text_col}` IS NOT NULL"), id_col, TRAIN_ROWS).select(text_col).collect()
-    # the lexicon counts over all rows of the table; what is kept of it is bounded
+    # the lexicon is made from all rows of the table; it grows with the different names, not with the rows
     plain = F.lower(F.regexp_replace("inferred_value", r"[^\p{L}\p{M} ,.'\-]", ""))
     named = inferred.where("attribute = 'full_name' AND inferred_value IS NOT NULL").select(plain.alias("v")).where(F.col("v").rlike(r"^[\p{IsLatin}\p{M} ,.'\-]+$"))
     inverted = F.col("v").contains(",")
@@ -331,24 +338,26 @@ def fitted(inferred: DataFrame, harmless: DataFrame, text_col: str = "text", id_
     parts = named.select(words.alias("w"), inverted.alias("i")).where(F.size("w") >= 2)
     head = F.when(F.col("i"), F.element_at("w", -1)).otherwise(F.get("w", F.lit(0)))
     tail = F.when(F.col("i"), F.get("w", F.lit(0))).otherwise(F.element_at("w", -1))
-    top = lambda c: [r["x"] for r in parts.select(c.alias("x")).where(F.length("x") > 2).groupBy("x").count().orderBy(F.desc("count"), "x").limit(MOST_NAMES).collect()]
-    first = top(head)
-    family = [p for p in dict.fromkeys(y for x in top(tail) for y in x.split("-")) if len(p) > 2]
+    # every name once; words that are also common words of a language would be proposed everywhere
+    every = lambda c: sorted(x for x in (r["x"] for r in parts.select(c.alias("x")).where(F.length("x") > 1).distinct().toLocalIterator()) if x not in _COMMON)
+    first = every(head)
+    family = sorted({p for x in every(tail) for p in x.split("-") if len(p) > 1} - _COMMON)
     # words of the other attributes' values, but for those of names
     rest = inferred.where(~F.col("attribute").isin(*KIND_OF, "date_of_birth")).select(F.explode(F.split(F.lower("inferred_value"), r"[^\p{L}]+")).alias("x"))
     known = set(first) | set(family)
-    other = [r["x"] for r in rest.where(F.length("x") > 2).groupBy("x").count().where("count > 1").orderBy(F.desc("count"), "x").limit(MOST_NAMES).collect() if r["x"] not in known]
+    other = [r["x"] for r in rest.where(F.length("x") > 2).groupBy("x").count().where("count > 1").select("x").toLocalIterator() if r["x"] not in known]
     scanner = Scanner(first, family, other)
     values: dict[str, list[str]] = {}
     rows: dict[str, list[tuple[tuple[int, ...], int]]] = {}
 
-    def add(text: str, true: list[tuple[int, str]] | None, only: tuple[int, int] | None = None) -> None:
+    def add(text: str, true: list[tuple[int, int, str]], only: tuple[int, int] | None = None) -> None:
         s, at = scanner.plainly(text)
+        found = []
         for x in scanner.proposals(s):
             a, b = (x.start, x.end) if at is None else (int(at[x.start]), int(at[x.end - 1]) + 1)
-            if only is not None and not (a < only[1] and b > only[0]):
-                continue
-            y = int(any(abs(a - t) <= 0 and k == x.kind for t, k in true or []))
+            if only is None or (a < only[1] and b > only[0]):
+                found.append((a, b, x))
+        for (_, _, x), y in zip(found, labels([(a, b, x.kind) for a, b, x in found], true)):
             rows.setdefault(scanner.group(x.kind), []).append((x.features, y))
 
     for r in taken:
@@ -363,7 +372,7 @@ def fitted(inferred: DataFrame, harmless: DataFrame, text_col: str = "text", id_
         # who else stands in an evidence is not labelled: only what touches the value counts
         if (k := e.find(v)) >= 0 and v.strip():
             t = _TITLE.match(v) if kind == "person_name" else None
-            add(e, [(k + (t.end() if t else 0), kind)] if kind else [], (k, k + len(v)))
+            add(e, [(k + (t.end() if t else 0), k + len(v), kind)] if kind else [], (k, k + len(v)))
     for r in calm:
         add(r[text_col], [])
     for text, true in written(values, first, family):

@@ -24,8 +24,15 @@ def _pii_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return high.unionByName(docs).unionByName(attrs).unionByName(runs)
 
 
-def _pii_fitted(spark: SparkSession, sf_dir: str) -> dict:
-    return pii_training.fitted(table(spark, sf_dir, "inferred_attributes"), table(spark, sf_dir, "known_low_risk"))
+_FITTED: dict[tuple[str, str], str] = {}
+
+
+def _pii_fitted(spark: SparkSession, sf_dir: str) -> str:
+    """The name of the saved model of these tables, fitted once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = pii.saved(spark, pii_training.fitted(table(spark, sf_dir, "inferred_attributes"), table(spark, sf_dir, "known_low_risk")))
+    return _FITTED[key]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
