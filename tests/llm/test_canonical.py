@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from veilgauge.llm import canonical as C
+from veilgauge.llm import wordings as W
 
 ENTRIES = [(1, "occupation", "nurse", ["RN", "staff nurse"]), (2, "occupation", "police_officer", ["cop"]), (3, "occupation", "zookeeper", None), (4, "occupation", "accountant", ["bookkeeper"]), (5, "occupation", "warehouse_operative", None), (6, "nationality", "british", ["GB"]), (7, "nationality", "american", None), (8, "education_level", "doctorate", ["PhD", "D.Phil."]), (9, "occupation", "truck_driver", None), (10, "occupation", "chef", None)]
 
@@ -22,7 +23,7 @@ def entries(spark):
     ],
 )
 def test_values(spark, entries, attribute, value, ref):
-    got = C.mapped(spark.createDataFrame([(attribute, value), (attribute, value)], "attribute string, value string"), entries).collect()
+    got = C.mapped(spark.createDataFrame([(attribute, value), (attribute, value)], "attribute string, value string"), entries, W.table(spark)).collect()
     assert [(r["value"], r["ref_id"]) for r in got] == [(value, ref)]
 
 
@@ -45,12 +46,12 @@ def test_pigeonhole_join_finds_all_that_brute_force_finds(spark, entries):
     inferred = spark.createDataFrame([(i, a, v) for i, (a, v) in enumerate(values)], "attr_id bigint, attribute string, inferred_value string")
     results = spark.createDataFrame([(1, ["occupation=Nusre", "employer", "nationality=gb", "gender=f"]), (2, None), (3, [])], "result_id bigint, unmatched_quasi_identifiers array<string>")
     cells = spark.createDataFrame([(1, "nurse"), (2, "Nurse"), (3, None), (4, "unknown"), (5, "4010")], "cell_id bigint, occupation string")
-    got = {tuple(r) for r in C.mapped_rows(C.typed_values(inferred, results, cells, entries), entries).select("src_table", "row_id", "item_no", "ref_id").collect()}
+    got = {tuple(r) for r in C.mapped_rows(C.typed_values(inferred, results, cells, entries), entries, W.table(spark)).select("src_table", "row_id", "item_no", "ref_id").collect()}
     db = duckdb.connect()
     for name, df in (("inferred_attributes", inferred), ("score_results", results), ("cross_tab", cells), ("canonical_values", entries)):
         db.register(f"_{name}", df.toArrow())
         db.execute(f"CREATE TABLE {name} AS SELECT * FROM _{name}")
-    assert got == set(db.execute(C.duckdb_sql()).fetchall()) and {x for x in got if x[0] != "inferred_attributes"} == {("score_results", 1, 1, 1), ("score_results", 1, 3, 6), ("cross_tab", 2, 1, 1), ("cross_tab", 5, 1, 0)}
+    assert got == set(db.execute(C.duckdb_sql(W.SYNONYMS)).fetchall()) and {x for x in got if x[0] != "inferred_attributes"} == {("score_results", 1, 1, 1), ("score_results", 1, 3, 6), ("cross_tab", 2, 1, 1), ("cross_tab", 5, 1, 0)}
 
 
 def test_empty_and_clashing_columns(spark, entries):
@@ -58,3 +59,14 @@ def test_empty_and_clashing_columns(spark, entries):
     assert C.mapped(empty, entries).count() == 0
     long = spark.createDataFrame([("occupation", "x" * 20_000)], "attribute string, value string")
     assert C.mapped(long, entries).first()["ref_id"] == 0
+
+
+def test_wordings_of_any_length_keep_all_segments(spark):
+    """A hundred and fifty characters with four slips, one in each of the first four segments."""
+    words = "senior inspector of historic bridges and tunnels in the northern river districts with special duties for flood gates, locks and weirs of the old canals"
+    entries = spark.createDataFrame([(1, "occupation", words, None)], "ref_id bigint, attribute string, canonical_value string, alt_labels array<string>")
+    slips = list(words)
+    for k in (5, 40, 70):
+        slips[k] = "z"
+    df = spark.createDataFrame([("occupation", "".join(slips)), ("occupation", "trucker")], "attribute string, value string")
+    assert {r["value"][:3]: r["ref_id"] for r in C.mapped(df, entries).collect()} == {"sen": 1, "tru": 0}

@@ -7,7 +7,7 @@
    round, and both without rank, working time, workplace, training or former
    status around a title.
 2. A wording equal to a reference wording (entry, its alternative labels, and
-   SYNONYMS) maps at once.
+   those of an optional table of usual wordings) maps at once.
 3. For the rest, each reference wording of k allowed edits is cut into k+1
    segments. A value within k edits holds one of them unchanged at a place
    shifted by k at most, so segments and the values' substrings are joined by
@@ -30,32 +30,6 @@ from veilgauge.llm.lookalikes import CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES
 #: Attributes with a reference list.
 ATTRIBUTES = ("occupation", "nationality", "education_level")
 
-# Usual wordings of entries beside the labels the reference list has itself.
-SYNONYMS = {
-    "occupation": {
-        "trucker": "truck_driver", "lorry driver": "truck_driver", "long haul driver": "truck_driver", "abogado": "lawyer", "abogada": "lawyer", "barrister": "lawyer", "counsel": "lawyer",
-        "enfermera": "nurse", "enfermero": "nurse", "registered nurse": "nurse", "maestro": "teacher", "educator": "teacher", "school teacher": "teacher", "medico": "doctor", "medica": "doctor", "medic": "paramedic",
-        "general practitioner": "doctor", "family doctor": "doctor", "mailwoman": "postal_carrier", "letter carrier": "postal_carrier", "postman": "postal_carrier", "mail carrier": "postal_carrier",
-        "flatfoot": "police_officer", "policeman": "police_officer", "policewoman": "police_officer", "coder": "software_developer", "software engineer": "software_developer", "developer": "software_developer", "dev": "software_developer",
-        "ingeniero civil": "civil_engineer", "fireman": "firefighter", "fire fighter": "firefighter", "barber": "hairdresser", "hair stylist": "hairdresser", "stylist": "hairdresser", "barman": "bartender", "barmaid": "bartender", "barkeep": "bartender", "mixologist": "bartender",
-        "cook": "chef", "chemist shop keeper": "pharmacist", "druggist": "pharmacist", "sparky": "electrician", "chippy": "carpenter", "joiner": "carpenter", "brickie": "bricklayer", "newsman": "journalist", "correspondent": "journalist",
-        "vet surgeon": "veterinarian", "veterinary surgeon": "veterinarian", "estate broker": "estate_agent", "real estate agent": "estate_agent", "letting agent": "estate_agent", "steward": "flight_attendant", "stewardess": "flight_attendant", "air steward": "flight_attendant",
-        "lecturer": "university_lecturer", "lab technician": "laboratory_technician", "lab tech": "laboratory_technician", "shrink": "psychologist", "salesperson": "retail_salesperson", "shop worker": "retail_salesperson", "checkout operator": "cashier",
-        "pilot": "airline_pilot", "farmhand": "farm_worker", "farm hand": "farm_worker", "mason": "bricklayer", "guard": "security_guard", "caretaker": "cleaner", "secretary": "executive_assistant", "pa": "executive_assistant",
-    },
-    "nationality": {
-        "usa": "american", "united states": "american", "us citizen": "american", "from the us": "american", "from the usa": "american", "from america": "american", "uk": "british", "from britain": "british", "from the uk": "british", "english": "british", "from ireland": "irish",
-        "from canada": "canadian", "mexicana": "mexican", "mexicano": "mexican", "from spain": "spanish", "espanol": "spanish", "from portugal": "portuguese", "portugues": "portuguese", "deutsche": "german", "from austria": "austrian", "from poland": "polish", "polski": "polish",
-        "from romania": "romanian", "from nigeria": "nigerian", "from kenya": "kenyan", "from pakistan": "pakistani", "from bangladesh": "bangladeshi", "filipina": "filipino", "from vietnam": "vietnamese", "from china": "chinese", "from japan": "japanese", "from brazil": "brazilian",
-        "brasileiro": "brazilian", "from colombia": "colombian", "colombiano": "colombian", "from ukraine": "ukrainian", "noncitizen": "non_citizen", "estadounidense": "american", "foreigner": "non_citizen", "alien": "non_citizen",
-    },
-    "education_level": {
-        "undergrad degree": "bachelors_degree", "undergraduate degree": "bachelors_degree", "bachelor": "bachelors_degree", "bachelors": "bachelors_degree", "bsc": "bachelors_degree", "master": "masters_degree", "masters": "masters_degree", "postgraduate degree": "masters_degree", "mba": "masters_degree", "ma": "masters_degree",
-        "doctoral degree": "doctorate", "dphil": "doctorate", "high school": "high_school_diploma", "secondary school": "high_school_diploma", "associates": "associate_degree", "associates degree": "associate_degree", "no formal education": "no_schooling", "never attended school": "no_schooling",
-        "college no degree": "some_college", "college dropout": "some_college", "trade qualification": "professional_qualification", "professional certificate": "professional_qualification",
-    },
-}
-
 _INVISIBLE = "­͏؜​‌‍‎‏⁠﻿"
 _WIDE = "".join(chr(0xFF01 + k) for k in range(94))
 _NARROW = "".join(chr(0x21 + k) for k in range(94))
@@ -137,18 +111,18 @@ def accepted(length: str, distance: str, same_letters: str, alt: str) -> str:
     )
 
 
-def reference(entries: DataFrame) -> DataFrame:
-    """(attribute, ref_id, wording, alt): every wording of the reference list, cleaned; wordings that two entries share go to the smaller number."""
+def reference(entries: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(attribute, ref_id, wording, alt): every wording of the reference list and of `more` (attribute, wording, canonical_value), cleaned; wordings that two entries share go to the smaller number."""
     own = entries.select("attribute", "ref_id", F.col("canonical_value").alias("w"), F.lit(False).alias("alt"))
     labels = entries.select("attribute", "ref_id", F.explode("alt_labels").alias("w"), F.lit(True).alias("alt"))
-    pairs = [(a, w, v) for a, own_words in SYNONYMS.items() for w, v in own_words.items()]
-    more = entries.sparkSession.createDataFrame(pairs, "attribute string, w string, canonical_value string")
-    extra = more.join(entries.select("attribute", "canonical_value", "ref_id"), ["attribute", "canonical_value"]).select("attribute", "ref_id", "w", F.lit(True).alias("alt"))
-    every = own.unionByName(labels).unionByName(extra).where("w IS NOT NULL").select("attribute", "ref_id", F.expr(cleaned(folded("w", "spark"), "spark")).alias("wording"), "alt")
+    every = own.unionByName(labels)
+    if more is not None:
+        every = every.unionByName(more.withColumnRenamed("wording", "w").join(entries.select("attribute", "canonical_value", "ref_id"), ["attribute", "canonical_value"]).select("attribute", "ref_id", "w", F.lit(True).alias("alt")))
+    every = every.where("w IS NOT NULL").select("attribute", "ref_id", F.expr(cleaned(folded("w", "spark"), "spark")).alias("wording"), "alt")
     return every.where("wording <> ''").groupBy("attribute", "wording").agg(F.min_by(F.struct("ref_id", "alt"), F.struct("alt", "ref_id")).alias("x")).select("attribute", "wording", "x.ref_id", "x.alt")
 
 
-def mapped(values: DataFrame, entries: DataFrame) -> DataFrame:
+def mapped(values: DataFrame, entries: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(attribute, value, ref_id) for each different (attribute, value) of `values`; ref_id 0 where no entry fits.
 
     Values that are missing have no row. `values` may repeat; it is made
@@ -158,7 +132,7 @@ def mapped(values: DataFrame, entries: DataFrame) -> DataFrame:
 
     typed = values.where("value IS NOT NULL").select("attribute", "value").distinct().withColumn("f", F.expr(folded("value", "spark")))
     typed = cut(typed.where(f"NOT {missing('f')}"))
-    ref = cut(reference(entries))
+    ref = cut(reference(entries, more))
     forms = F.array(*[F.expr(w) for w in wordings("f", "spark")])
     tried = cut(typed.select("attribute", "value", F.posexplode(forms).alias("rank", "form")).where("form <> ''").groupBy("attribute", "value", "form").agg(F.min("rank").alias("rank")))
     exact = tried.join(ref.withColumnRenamed("wording", "form"), ["attribute", "form"]).select("attribute", "value", "ref_id", F.lit(0).alias("distance"), "rank")
@@ -167,9 +141,10 @@ def mapped(values: DataFrame, entries: DataFrame) -> DataFrame:
     # reference side: k+1 segments at all shifted places
     cutup = ref.withColumn("n", F.length("wording")).withColumn("k", F.expr(edits("n"))).where("k > 0")
     cutup = cutup.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).selectExpr("*", "CAST(floor(i * n / (k + 1)) AS INT) AS s", "CAST(floor((i + 1) * n / (k + 1)) AS INT) AS e")
+    lengths = sorted(r["seg"] for r in cutup.selectExpr("e - s AS seg").where("seg > 0").distinct().collect())  # no more than the longest wording has characters
     cutup = cutup.withColumn("d", F.explode(F.sequence(-F.col("k"), F.col("k")))).selectExpr("attribute", "wording", "ref_id", "alt", "n", "k", "s + d AS place", "e - s AS seg", "substring(wording, s + 1, e - s) AS piece").where("place >= 0 AND seg > 0")
-    sizes = F.array(*[F.lit(x) for x in range(1, 16)])
-    pieces = left.withColumn("m", F.length("form")).withColumn("seg", F.explode(sizes)).where("seg <= m").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("seg"))))
+    sizes = F.array(*[F.lit(x) for x in lengths] or [F.lit(0)])
+    pieces = left.withColumn("m", F.length("form")).withColumn("seg", F.explode(sizes)).where("seg > 0 AND seg <= m").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("seg"))))
     pieces = pieces.selectExpr("attribute", "form", "m", "seg", "place", "substring(form, place + 1, seg) AS piece")
     used = cutup.select("attribute", "seg", "place", "piece").distinct()
     pieces = pieces.join(used, ["attribute", "seg", "place", "piece"], "left_semi")
@@ -183,14 +158,14 @@ def mapped(values: DataFrame, entries: DataFrame) -> DataFrame:
     return best.unionByName(none)
 
 
-def mapped_rows(rows: DataFrame, entries: DataFrame) -> DataFrame:
+def mapped_rows(rows: DataFrame, entries: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """`rows` (src_table, row_id, item_no, attribute, value) with ref_id; missing values have no row.
 
     The mapping has one row for each different value; a value that a third of
     all rows share is spread by AQE's skew join or, the mapping being small,
     joined by broadcast when Spark finds it below its measured size threshold.
     """
-    found = mapped(rows.select("attribute", "value"), entries)
+    found = mapped(rows.select("attribute", "value"), entries, more)
     return rows.join(found, ["attribute", "value"]).select("src_table", "row_id", "item_no", "attribute", "value", "ref_id")
 
 
@@ -210,9 +185,9 @@ def typed_values(inferred: DataFrame, results: DataFrame, cells: DataFrame, entr
     return a.unionByName(b).unionByName(c)
 
 
-def duckdb_sql() -> str:
+def duckdb_sql(synonyms: dict[str, dict[str, str]]) -> str:
     """The mapping of all typed values as DuckDB SQL, by comparing every value with every reference wording."""
-    more = ", ".join(f"({_quote(a)}, {_quote(w)}, {_quote(v)})" for a, own in SYNONYMS.items() for w, v in own.items())
+    more = ", ".join(f"({_quote(a)}, {_quote(w)}, {_quote(v)})" for a, own in synonyms.items() for w, v in own.items())
     names = ", ".join(_quote(a) for a in ATTRIBUTES)
     forms = ", ".join(wordings("f", "duckdb"))
     wording = cleaned(folded("w", "duckdb"), "duckdb")

