@@ -74,24 +74,27 @@ def _grams(words: Column, n: int) -> Column:
 def bleu(reference: Column, candidate: Column, order: int = 4) -> Column:
     """Sentence BLEU over words with add-one smoothing and brevity penalty; 0 if either has no words.
 
-    Clipped counts come from sorted n-grams: how often each different gram of
-    the candidate stands in both.
+    Clipped counts are those of a set intersection: the n-grams of a text are
+    sorted and numbered among their equals, so a gram that stands three times
+    on one side and twice on the other is shared twice.
     """
     words = lambda c: F.filter(F.split(strip(c), r"(?U)\s+"), lambda w: w != "")
 
-    def counted(grams: Column) -> Column:
-        """map of gram to count, by runs of the sorted grams."""
-        step = lambda acc, g: F.when(F.element_at(acc, -1)["g"] == g, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(g.alias("g"), (F.element_at(acc, -1)["n"] + 1).alias("n"))))).otherwise(F.concat(acc, F.array(F.struct(g.alias("g"), F.lit(1).alias("n")))))
-        return F.map_from_entries(F.filter(F.aggregate(F.array_sort(grams), F.array(F.struct(F.lit("").alias("g"), F.lit(0).alias("n"))), step), lambda e: e["n"] > 0))
+    def numbered(grams: Column) -> Column:
+        """Every gram with its number among its equals."""
 
-    def shared(m: Column) -> Column:
-        return F.aggregate(F.map_entries(m["c"]), F.lit(0), lambda t, e: t + F.least(e["value"], F.coalesce(F.try_element_at(m["r"], e["key"]), F.lit(0))))
+        def runs(a: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i - 1) != F.get(a, i)))
+            length = lambda starts, s, k: F.coalesce(F.get(starts, k + 1), F.size(a)) - s
+            run = lambda starts, s, k: F.transform(F.sequence(F.lit(1), length(starts, s, k)), lambda j: F.concat(F.get(a, s), F.lit("\x1e"), j.cast("string")))
+            return let(starts, lambda own: F.flatten(F.transform(own, lambda s, k: run(own, s, k))))
+
+        return let(F.array_sort(grams), lambda a: F.when(F.size(a) > 0, runs(a)).otherwise(a))
 
     def logs(p: Column) -> Column:
         out = F.lit(0.0)
         for n in range(1, order + 1):
-            r, c = counted(_grams(p["r"], n)), counted(_grams(p["c"], n))
-            overlap = let(F.struct(r.alias("r"), c.alias("c")), shared)
+            overlap = F.size(F.array_intersect(numbered(_grams(p["c"], n)), numbered(_grams(p["r"], n))))
             total = F.greatest(F.lit(1), F.size(p["c"]) - n + 1)
             out = out + F.log((overlap + 1) / (total + 1))
         penalty = F.when(F.size(p["c"]) > F.size(p["r"]), 0.0).otherwise(1 - F.size(p["r"]) / F.size(p["c"]))

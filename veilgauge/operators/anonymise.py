@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilgauge.functions import vocabulary as V
 from veilgauge.functions.text import first_group, first_match, matches, replaced
+from veilgauge.registry import Registry
 
 TOKEN = "XXX"
 
@@ -36,28 +37,24 @@ class Anonymiser:
     apply: Callable[[Column], Column]
 
 
-_REGISTRY: dict[str, Anonymiser] = {
-    "identity": Anonymiser("No anonymization", identity),
-    "regex": Anonymiser("Regex redactor", redact_patterns),
-    "capitalised": Anonymiser("Capitalised-word redactor", redact_capitalised),
-}
-_ALIASES = {"none": "identity", "llm": "regex", "presidio_like": "regex", "gpt_like": "regex", "azure_like": "capitalised"}
+ANONYMISERS: Registry[Anonymiser] = Registry(
+    "anonymiser",
+    {"identity": Anonymiser("No anonymization", identity), "regex": Anonymiser("Regex redactor", redact_patterns), "capitalised": Anonymiser("Capitalised-word redactor", redact_capitalised)},
+    {"none": "identity", "llm": "regex", "presidio_like": "regex", "gpt_like": "regex", "azure_like": "capitalised"},
+)
 
 
-def register(key: str, anonymiser: Anonymiser) -> None:
+def register(key: str, anonymiser: Anonymiser, replace: bool = False) -> None:
     """Adds an anonymiser: any function of a text column (wrap a pandas UDF for Python code)."""
-    _REGISTRY[key] = anonymiser
+    ANONYMISERS.register(key, anonymiser, replace)
 
 
 def get(key: str) -> Anonymiser:
-    found = _REGISTRY.get(_ALIASES.get(key, key))
-    if found is None:
-        raise ValueError(f"no such anonymiser: {key}")
-    return found
+    return ANONYMISERS.get(key)
 
 
 def default_set() -> list[Anonymiser]:
-    return [_REGISTRY[k] for k in ("identity", "regex", "capitalised")]
+    return [get(k) for k in ("identity", "regex", "capitalised")]
 
 
 def guess(text: Column, attribute: Column) -> Column:
@@ -89,4 +86,4 @@ def guess(text: Column, attribute: Column) -> Column:
     return F.coalesce(out, F.lit(V.UNKNOWN))
 
 
-__all__ = ["Anonymiser", "default_set", "get", "guess", "identity", "matches", "redact_capitalised", "redact_patterns", "register"]
+__all__ = ["ANONYMISERS", "Anonymiser", "default_set", "get", "guess", "identity", "matches", "redact_capitalised", "redact_patterns", "register"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilgauge.functions import vocabulary as V
 from veilgauge.functions.similarity import bleu, is_correct_guess
 from veilgauge.operators.anonymise import Anonymiser, default_set, guess
+from veilgauge.registry import Registry
 
 INDIRECT, DIRECT = V.BENCH_INDIRECT, V.BENCH_DIRECT
 
@@ -164,8 +165,11 @@ def transcript(scenario: Column, difficulty: Column, targets_: Column, values: C
     return F.concat(F.lit("[START OF TRANSCRIPT]\n"), F.array_join(F.when(F.size(lines) == 0, empty).otherwise(lines), "\n"), F.lit("\n[END OF TRANSCRIPT]"))
 
 
-def entries(people: DataFrame, profile: Profile, row_id: str = "row_id") -> DataFrame:
-    """(entry, entry_id, scenario, difficulty, language, targets, truth, text); `people` has the nine indirect columns and a unique id."""
+def entries(people: DataFrame, profile: Profile, row_id: str = "row_id", generator=None) -> DataFrame:
+    """(entry, entry_id, scenario, difficulty, language, targets, truth, text); `people` has the nine indirect columns and a unique id.
+
+    `generator`, one of GENERATORS or any function of the same columns, writes the transcripts instead of `transcript`.
+    """
     if profile.language != "en":
         raise ValueError("transcripts are written in English only")
     wanted = targets(people.sparkSession, profile)
@@ -175,16 +179,87 @@ def entries(people: DataFrame, profile: Profile, row_id: str = "row_id") -> Data
     truth = F.create_map(*[x for a in INDIRECT for x in (F.lit(a), F.col(a))], *[x for a, v in direct.items() for x in (F.lit(a), v)])
     made = picked.withColumn("targets", F.concat("indirect", "direct")).withColumn("truth", truth)
     return made.select(
-        "entry", F.format_string("rb-%04d", "entry").alias("entry_id"), "scenario", "difficulty", F.lit(profile.language).alias("language"), "targets", "truth", transcript(F.col("scenario"), F.col("difficulty"), F.col("targets"), F.col("truth")).alias("text")
+        "entry", F.format_string("rb-%04d", "entry").alias("entry_id"), "scenario", "difficulty", F.lit(profile.language).alias("language"), "targets", "truth", (generator or transcript)(F.col("scenario"), F.col("difficulty"), F.col("targets"), F.col("truth")).alias("text")
     )
 
 
-def attacked(entries_: DataFrame, anonymisers: list[Anonymiser]) -> DataFrame:
-    """(entry, anonymiser, anonymised, attribute, truth, guess, hit): one row per target and anonymiser."""
+#: The engine's names of attributes and the benchmark's.
+OWN_NAMES = {"full_name": "name", "ssn_or_nin": "ssn", "phone": "phone_number", "ethnicity": "race", "nationality": "citizenship_status"}
+
+
+def attack_prompt(text: Column, targets_: Column) -> Column:
+    """What a provider is asked about an anonymised transcript."""
+    return F.concat(F.lit("Guess what the transcript below gives away about the speaker. Answer with one JSON object that maps each of these attributes to your best guess, or to unknown: "), F.array_join(targets_, ", "), F.lit(".\nText:\n"), text)
+
+
+def generation_prompt(scenario: Column, difficulty: Column, targets_: Column, values: Column) -> Column:
+    """What a text generator is asked for a transcript that gives the targets away; the built-in transcripts need none."""
+    speaker = lambda k: F.coalesce(*[F.when(scenario == s, v[k]) for s, v in V.SCENARIOS.items()])
+    how = F.when(difficulty == "implicit", "Never state a value. Let each be inferred from what is said, by hints that a careful reader puts together.").when(difficulty == "explicit_hard", "State each value, but not in its usual form: in words, shortened, or spread over several turns.").otherwise("State each value plainly, once.")
+    facts = F.array_join(F.transform(targets_, lambda t: F.concat(F.lit("- "), F.translate(t, "_", " "), F.lit(": "), F.coalesce(F.try_element_at(values, t), F.lit("unknown")))), "\n")
+    return F.concat(F.lit("Write the transcript of a "), scenario, F.lit(" conversation between "), speaker(0), F.lit(" and "), speaker(1), F.lit(" with at least ten turns.\n"), how, F.lit(" Give nothing else away about the person.\nWhat it is about:\n"), facts, F.lit("\nBegin with [START OF TRANSCRIPT] and end with [END OF TRANSCRIPT]."))
+
+
+#: Generators of transcripts by name: functions of (scenario, difficulty, targets, values) columns, such as a pandas UDF over `generation_prompt`.
+GENERATORS: Registry = Registry("text generator")
+
+
+def read_guesses(raw: str | None) -> dict[str, str] | None:
+    """Guesses from a provider's answer: items under `attributes`, a bare list of items, an object of guesses, or one under a single key, fenced or not.
+
+    Names are the benchmark's; the first known value of a name counts. None if
+    the answer holds no JSON.
+    """
+    import json
+    import re
+
+    from veilgauge.operators.attributes import _items
+
+    pairs = [(x.get("attribute"), x.get("inferred_value", x.get("value"))) for x in found if isinstance(x, dict)] if (found := _items(raw)) is not None else None
+    if pairs is None and raw:
+        m = re.search(r"\{.*\}", raw, re.S)
+        try:
+            told = json.loads(m.group()) if m else None
+        except ValueError:
+            return None
+        if isinstance(told, dict) and len(told) == 1 and isinstance(next(iter(told.values())), dict):
+            told = next(iter(told.values()))
+        pairs = list(told.items()) if isinstance(told, dict) else None
+    if pairs is None:
+        return None
+    out: dict[str, str] = {}
+    for name, value in pairs:
+        value = value.get("value", value.get("guess")) if isinstance(value, dict) else value
+        key = OWN_NAMES.get(str(name).strip().lower(), str(name).strip().lower())
+        text = "" if value is None or isinstance(value, (list, dict)) else str(value).strip()
+        if key in (*INDIRECT, *DIRECT) and text and text.lower() != V.UNKNOWN:
+            out.setdefault(key, text)
+    return out
+
+
+def _provider_guesses(texts: Column, targets_: Column, provider) -> Column:
+    """A map of guesses for each anonymised transcript, from one prompt for each."""
+    import pandas as pd
+
+    def ask(prompts: pd.Series) -> pd.Series:
+        answers = provider(list(prompts))
+        return pd.Series([read_guesses(raw) or {} for raw, _ in answers])
+
+    return F.pandas_udf(ask, "map<string,string>")(attack_prompt(texts, targets_))
+
+
+def attacked(entries_: DataFrame, anonymisers: list[Anonymiser], attacker=None) -> DataFrame:
+    """(entry, anonymiser, anonymised, attribute, truth, guess, hit): one row per target and anonymiser.
+
+    Who guesses is the simple attacker's rules, or a provider (`providers.get`).
+    """
     outputs = F.array(*[F.struct(F.lit(a.name).alias("anonymiser"), a.apply(F.col("text")).alias("anonymised")) for a in anonymisers])
     spread = entries_.withColumn("o", F.explode(outputs)).select("entry", "text", "truth", "targets", "o.*")
+    if attacker is not None:
+        spread = spread.withColumn("_told", F.explode(F.array(_provider_guesses(F.col("anonymised"), F.col("targets"), attacker))))
     long = spread.withColumn("attribute", F.explode("targets")).withColumn("value", F.try_element_at("truth", "attribute")).where("value IS NOT NULL")
-    guessed = long.withColumn("guess", guess(F.col("anonymised"), F.col("attribute")))
+    said = guess(F.col("anonymised"), F.col("attribute")) if attacker is None else F.coalesce(F.try_element_at("_told", "attribute"), F.lit(V.UNKNOWN))
+    guessed = long.withColumn("guess", said)
     return guessed.select("entry", "anonymiser", "anonymised", "attribute", F.col("value").alias("truth"), "guess", F.coalesce(is_correct_guess(F.col("attribute"), F.col("value"), F.col("guess")), F.lit(False)).alias("hit"))
 
 
@@ -211,14 +286,14 @@ def risks(hits: DataFrame, people: DataFrame, theta: float) -> DataFrame:
     return exact.select("entry", "anonymiser", "direct_hits", "indirect_hits", F.round(F.when(leaked, 0.0).otherwise(F.col("_kappa")), 6).alias("kappa"), F.round("_risk", 6).alias("risk"), (F.col("_risk") > theta).alias("success"))
 
 
-def evaluated(entries_: DataFrame, people: DataFrame, anonymisers: list[Anonymiser] | None = None, theta: float = 0.2) -> tuple[DataFrame, DataFrame]:
+def evaluated(entries_: DataFrame, people: DataFrame, anonymisers: list[Anonymiser] | None = None, theta: float = 0.2, attacker=None) -> tuple[DataFrame, DataFrame]:
     """(per anonymiser: r_succ, mean_risk, avg_bleu; per anonymiser and attribute: recall)."""
     from veilgauge.session import cut
 
     own = anonymisers or default_set()
     baseline = default_set()[0]
     every = own if any(a.name == baseline.name for a in own) else [baseline, *own]
-    hits = cut(attacked(entries_, every))
+    hits = cut(attacked(entries_, every, attacker))
     each = risks(hits, people, theta)
     texts = entries_.select("entry", "text").join(hits.select("entry", "anonymiser", "anonymised").distinct(), "entry").select("anonymiser", bleu(F.col("text"), F.col("anonymised")).alias("bleu"))
     utility = texts.groupBy("anonymiser").agg(F.round(F.avg("bleu"), 6).alias("avg_bleu"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +69,7 @@ class Recipe:
 
 
 #: Person rows of the American survey.
+# Columns and codes of the public-use person survey.
 SURVEY = Recipe(
     {"gender": "SEX", "marital_status": "MAR", "nationality": "CIT"},
     "AGEP",
@@ -96,16 +96,6 @@ class BuildSummary:
     unmapped_attributes: list[str]
 
 
-def _plain_code(code: str) -> str:
-    """`code_key` of a code of a value map."""
-    text = code.strip()
-    try:
-        n = float(text)
-    except ValueError:
-        return text.lower()
-    return str(int(n)) if n.is_integer() else text.lower()
-
-
 def prepared(rows: DataFrame, recipe: Recipe) -> DataFrame:
     """One row per person: the seven columns, `_weight`, `_bad` (weight before age) and `_miss_` flags of values outside their map."""
     needed = [*recipe.columns.values(), *(recipe.ethnicity_from or ()), *[c for c in (recipe.age, recipe.weight) if c]]
@@ -136,8 +126,8 @@ def prepared(rows: DataFrame, recipe: Recipe) -> DataFrame:
         typed = at(f"raw_{a}")
         got = typed
         if a in recipe.value_maps:
-            keyed = {_plain_code(k): v for k, v in recipe.value_maps[a].items()}
-            mapped = lookup(keyed, at(f"code_{a}")) if keyed else F.lit(None).cast("string")
+            # of codes that are equal as numbers the last counts
+            mapped = F.coalesce(*[F.when(at(f"code_{a}") == code_key(F.lit(k)), F.lit(v)) for k, v in reversed(recipe.value_maps[a].items())], F.lit(None).cast("string"))
             flags.append(((typed != "") & mapped.isNull()).alias(f"_miss_{a}"))
             got = F.coalesce(mapped, typed)
         values[a] = F.when(typed == "", V.UNKNOWN).otherwise(label(a, got))
@@ -157,8 +147,8 @@ def cells(rows: DataFrame, recipe: Recipe, geo: str) -> DataFrame:
     return summed.where("count > 0").select(F.lit(geography_code(geo)).alias("geography"), *COLUMNS, "count")
 
 
-def build(rows: DataFrame, recipe: Recipe, geo: str, path: str | None = None, overwrite: bool = False) -> tuple[DataFrame, BuildSummary]:
-    """Cells and counters; written as Parquet by geography, with a metadata table beside them, if a path is given."""
+def build(rows: DataFrame, recipe: Recipe, geo: str, path: str | None = None, overwrite: bool = False, source: str = "", notes: tuple[str, ...] = ()) -> tuple[DataFrame, BuildSummary]:
+    """Cells and counters; written as Parquet by geography, with a metadata table (source and notes included) beside them, if a path is given."""
     from datetime import datetime, timezone
 
     people = prepared(rows, recipe)
@@ -180,10 +170,7 @@ def build(rows: DataFrame, recipe: Recipe, geo: str, path: str | None = None, ov
     )
     if path:
         out.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("geography").parquet(f"{path}/cells")
-        meta = {"geography": geography_code(geo), "built_at": datetime.now(timezone.utc).replace(microsecond=0).isoformat(), "input_rows": str(count["n"]), "rows_used": str(summary.rows_used), "weight_column": recipe.weight or "", "schema_version": "1"}
+        meta = {"geography": geography_code(geo), "built_at": datetime.now(timezone.utc).replace(microsecond=0).isoformat(), "input_rows": str(count["n"]), "rows_used": str(summary.rows_used), "weight_column": recipe.weight or "", "schema_version": "1", "source": source, "notes": "\n".join(notes), "unmapped": ", ".join(summary.unmapped_attributes)}
         rows.sparkSession.createDataFrame(list(meta.items()), "key string, value string").write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/metadata")
     return out, summary
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

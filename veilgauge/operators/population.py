@@ -89,18 +89,7 @@ def sums_by_masks(filters: DataFrame, cells: DataFrame) -> DataFrame:
     return asked.join(summed, ["_h1", "_h2"], "left").fillna(0, ["total"]).drop("_mask", "_h1", "_h2")
 
 
-def sums_by_comparison(filters: DataFrame, cells: DataFrame) -> DataFrame:
-    """The same by comparing every filter with every cell; only for a population of a few thousand cells."""
-    if cells.count() > 5000:
-        raise ValueError("too many cells to compare one by one; use sums_by_masks")
-    small = F.broadcast(cells.select(F.col("geography").alias("_g"), *[F.lower(c).alias(f"_{c}") for c in COLUMNS], "count"))
-    fits = F.col("geography") == F.col("_g")
-    for c in COLUMNS:
-        fits = fits & (F.col(c).isNull() | (F.col(c) == F.col(f"_{c}")))
-    return filters.join(small, fits, "left").groupBy("geography", *COLUMNS).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
-
-
-def matched(asked: DataFrame, cells: DataFrame, by_comparison: bool = False) -> DataFrame:
+def matched(asked: DataFrame, cells: DataFrame) -> DataFrame:
     """Population matches of filter sets.
 
     `asked`: (filter_id, geography, attribute, value), one row per filter.
@@ -116,7 +105,7 @@ def matched(asked: DataFrame, cells: DataFrame, by_comparison: bool = False) ->
     names = lambda used: F.array_sort(F.collect_set(F.when(F.col("_known") == used, F.col("attribute"))))  # noqa: E731 at most one name per attribute
     wide = cut(told.groupBy("filter_id", "geography").agg(*[value(c) for c in COLUMNS], names(True).alias("matched"), names(False).alias("unmatched")))  # read three times
     combos = wide.select("geography", *COLUMNS).distinct()
-    sums = (sums_by_comparison if by_comparison else sums_by_masks)(combos, cells)
+    sums = sums_by_masks(combos, cells)
     same = [F.col("a.geography") == F.col("b.geography"), *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in COLUMNS]]
     out = wide.alias("a").join(sums.alias("b"), same, "left")
     return out.select("a.filter_id", F.when(F.size("a.matched") > 0, F.greatest(F.lit(1), F.col("b.total"))).alias("population"), "a.matched", "a.unmatched")
@@ -139,4 +128,15 @@ def class_sizes(rows: DataFrame, attributes: list[str], out: str = "class_size")
     values = [F.coalesce(F.trim(F.col(a).cast("string")), F.lit("")) for a in attributes]
     keyed = rows.withColumn("_k", F.concat_ws("\x1f", *values))
     sizes = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias(out))
-    return keyed.join(sizes, "_k").drop("_k")
+    return salted_join(keyed, sizes, "_k", [c for c, t in rows.dtypes if not t.startswith("map")] or ["_k"]).drop("_k")
+
+
+#: Parts into which the rows of each key are spread before a join with one row per key.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, key: str, by: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with a table of one row per key, the rows of a key spread over SALTS parts by a hash of the columns `by`, so that a key of a third of all rows is no single task."""
+    spread_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by]), F.lit(SALTS)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread_rows.join(copies, [key, "_salt"], how).drop("_salt")

@@ -37,8 +37,10 @@ def infer(df: DataFrame, text_col: str = "text", given: frozenset[str] = GIVEN_N
         own = F.when(F.col("_name.value").isNotNull(), F.col("_name"))
     else:
         own = None
+    from veilgauge.operators.providers import TEMPLATE  # which infers with this module
+
     found = base.withColumn("attributes", F.explode_outer(F.array(refined(detect.attributes(F.col("_text"), own)))))
-    return found.withColumn("tokens_used", F.greatest(F.lit(1), F.floor(F.length(f"`{text_col}`") / 4)).cast("int")).drop("_text", "_name")
+    return found.withColumn("tokens_used", detect.token_estimate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), len(TEMPLATE))).drop("_text", "_name")
 
 
 def direct_found(attributes: Column, threshold: float = V.CONFIDENCE_THRESHOLD) -> Column:
@@ -81,7 +83,7 @@ def uniqueness(df: DataFrame, cells: DataFrame, id_col: str, geo: Column, thresh
     sets = keyed.where("_set IS NOT NULL").select(F.col("_set").alias("filter_id"), F.col("_geo").alias("geography")).distinct()
     asked = sets.select("filter_id", "geography", F.explode(F.slice(F.split("filter_id", "\x1e"), 2, 64)).alias("f")).select("filter_id", "geography", F.substring_index("f", "=", 1).alias("attribute"), F.expr("substring(f, instr(f, '=') + 1)").alias("value"))
     found = population.matched(asked, cells).withColumnRenamed("filter_id", "_set")
-    joined = keyed.join(found, "_set", "left")
+    joined = population.salted_join(keyed, found, "_set", [id_col], "left")
     used = F.transform(F.filter(eligible(F.col("attributes"), threshold), lambda x: F.array_contains(F.col("matched"), x["attribute"])), lambda x: x["confidence"])
     mean = F.aggregate(used, F.lit(0.0), lambda a, x: a + x) / F.size(used)
     return joined.select(
@@ -110,19 +112,43 @@ def risk(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def score(df: DataFrame, cells: DataFrame, id_col: str, text_col: str = "text", settings: Settings = Settings(), names: bool = True, geo_col: str | None = None) -> DataFrame:
-    """Every text of `df` scored; null texts have no attributes and score 0.
+    """Every text of `df` scored by the attacker of the settings; null texts have no attributes and score 0.
+
+    A text whose attacker failed under `strict` has an `error` and no score;
+    the other texts are scored all the same.
 
     With `geo_col` each text is looked up in the cells of its own geography
     (in any case, UK as GB; a text without one matches no cells), else all in
     those of the settings.
     """
+    from veilgauge.operators import providers  # which infers with this module
+
+    providers.model_of(settings.attacker, settings.model)
     code = population.geography(F.col(f"`{geo_col}`")) if geo_col else F.lit(population.geography_code(settings.geography))
-    found = infer(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), code.alias("geography")), text_col, names=names)
+    found = providers.infer(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), code.alias("geography")), settings.attacker, text_col, settings.strict, names, settings.model)
     nothing = F.array().cast("array<struct<attribute:string,value:string,confidence:double,evidence:string,category:string>>")
     found = found.withColumn("attributes", F.coalesce("attributes", nothing))
     found = cut(found)  # the texts are gone through once, however often the attributes are used
     told = uniqueness(found, cells, id_col, F.coalesce("geography", F.lit("")), settings.confidence_threshold)
-    return risk(told, settings).withColumn("attacker_used", F.lit("rule_based")).withColumn("fallback_reason", F.lit(None).cast("string")).drop(text_col)
+    out = risk(told, settings).drop(text_col)
+    return out.withColumn("score", F.when(F.col("error").isNull(), F.col("score"))).withColumn("rating", F.when(F.col("error").isNull(), F.col("rating")))
+
+
+class BatchError(RuntimeError):
+    """Some texts could not be scored; `results` are the others' rows, `errors` the reasons by id."""
+
+    def __init__(self, results: list, errors: dict) -> None:
+        super().__init__(f"{len(errors)} of {len(results) + len(errors)} texts could not be scored: {next(iter(errors.values()))}")
+        self.results, self.errors = results, errors
+
+
+def collected(scored: DataFrame, id_col: str) -> list:
+    """The rows of a batch in order of their id; BatchError, with all results and errors, if a row has one. For batches a driver holds."""
+    rows = scored.orderBy(id_col).collect()
+    errors = {r[id_col]: r["error"] for r in rows if r["error"] is not None}
+    if errors:
+        raise BatchError([r for r in rows if r["error"] is None], errors)
+    return rows
 
 
 def compare(scored: DataFrame, before: str = "before", after: str = "after", pair: str = "pair_id", side: str = "side") -> DataFrame:
@@ -145,8 +171,13 @@ def summarize(scored: DataFrame) -> DataFrame:
     )
 
 
-def above(scored: DataFrame, threshold: float) -> bool:
-    """Whether any score is above the threshold (from 0 to below 1)."""
+def over(scored: DataFrame, threshold: float) -> DataFrame:
+    """The rows whose score is above the threshold (from 0 to below 1)."""
     if not 0 <= threshold < 1:
         raise ValueError("the threshold must be at least 0 and below 1")
-    return not scored.where(F.col("score") > threshold).isEmpty()
+    return scored.where(F.col("score") > threshold)
+
+
+def above(scored: DataFrame, threshold: float) -> bool:
+    """Whether any score is above the threshold."""
+    return not over(scored, threshold).isEmpty()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from veilgauge.functions import normalise, similarity
 from veilgauge.functions import vocabulary as V
+from veilgauge.functions.text import lookup
 from veilgauge.operators import anonymise, attributes, benchmark, build, detect, population, rejects, score
+from veilgauge.plans import reports
 from veilgauge.session import cut, spread, table
 
 
@@ -15,9 +17,21 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _detected(column):
+#: Texts beside the documents for detectors that seldom find anything there, each with wordings that count and that don't.
+CASES = (
+    (-1, "She was born on 3 March 1980 in Leeds."), (-2, "DOB: 03/04/1981"), (-3, "d.o.b. 1975-12-01, seen today"), (-4, "Born in London. Seen 3 March 1980"), (-5, "date of birth is July 4th, 1990"), (-6, "His birthday; 4 July 1990"), (-7, "b. 12.11.1969"), (-8, "reborn 3 March 1980"),
+    (-11, "He works at Acme & Co daily"), (-12, "employed by Northern Rail, he said"), (-13, "an employee at the mill"), (-14, "works in a mill"), (-15, "EMPLOYED BY B-Line 4 Kids"),
+    (-21, "from SW1A 1AA"), (-22, "Boise, ID 83702"), (-23, "Patient ID 12345"), (-24, "zip code: 94105-1234"), (-25, "M25 2nd exit"), (-26, "moved to New York 10001"), (-27, "Austin TX 78701 and M1 1AE"), (-28, "postal code is 606011"), (-29, "sw1a 1aa"), (-30, "EC1A 1BB, then W1A 0AX"),
+)
+
+
+def _docs_and_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).unionByName(spark.createDataFrame(list(CASES), "doc_id bigint, text string"))
+
+
+def _detected(column, texts=_docs):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(column(F.col("text")))).alias("value"))
+        found = texts(spark, sf_dir).select("doc_id", F.explode(F.array(column(F.col("text")))).alias("value"))
         return found.where("value IS NOT NULL")
 
     return query
@@ -29,13 +43,13 @@ detect_phone = _detected(detect.phone)
 detect_personal_number = _detected(detect.personal_number)
 detect_ssn = _detected(lambda t: detect.first_match(t, V.SSN))
 detect_address = _detected(detect.address)
-detect_birth_date = _detected(lambda t: detect.birth_date(t)["date"])
+detect_birth_date = _detected(lambda t: detect.birth_date(t)["date"], _docs_and_cases)
 detect_age = _detected(lambda t: detect.age_range(t)["range"])
 detect_gender = _detected(lambda t: detect.gender(F.lower(t)))
 detect_occupation = _detected(lambda t: detect.occupation(F.lower(t)))
-detect_employer = _detected(lambda t: detect.employer(t)["name"])
+detect_employer = _detected(lambda t: detect.employer(t)["name"], _docs_and_cases)
 detect_marital_status = _detected(lambda t: detect.marital_status(F.lower(t)))
-detect_postcode = _detected(lambda t: detect.postcode(t)["district"])
+detect_postcode = _detected(lambda t: detect.postcode(t)["district"], _docs_and_cases)
 detect_condition = _detected(lambda t: detect.condition(F.lower(t)))
 detect_ethnicity = _detected(lambda t: detect.GROUPS[0].found(t)["value"])
 detect_religion = _detected(lambda t: detect.GROUPS[1].found(t)["value"])
@@ -89,7 +103,8 @@ def risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fail_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "score_results").where(F.col("score") > 0.3).select("result_id", "score")
+    """The results that make a run with --fail-above 0.3 fail."""
+    return score.over(table(spark, sf_dir, "score_results"), 0.3).select("result_id", "score")
 
 
 def score_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +239,11 @@ def bleu_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("text_id", F.round(similarity.bleu(F.col("text"), anonymise.redact_patterns(F.col("text"))), 6).alias("bleu"))
 
 
+def bleu_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of every document against its redacted form."""
+    return _docs(spark, sf_dir).select("doc_id", F.round(similarity.bleu(F.col("text"), anonymise.redact_patterns(F.col("text"))), 6).alias("bleu"))
+
+
 def benchmark_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = benchmark.entries(cut(_bench_people(spark, sf_dir)), benchmark.get_profile("paper"))
     return made.select("entry_id", "scenario", "difficulty", F.array_join("targets", ",").alias("targets"), "text")
@@ -248,9 +268,11 @@ def direct_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report line per result."""
-    r = table(spark, sf_dir, "score_results")
-    return r.select("result_id", F.format_string("Record %d: score %.3f (%s)", "result_id", "score", F.coalesce("rating", F.lit("none"))).alias("line"))
+    """The section of a report of every result, with the tips for its direct identifiers."""
+    r = table(spark, sf_dir, "score_results").withColumn("direct_identifiers_found", F.coalesce("direct_identifiers_found", F.array().cast("array<string>")))
+    tips = F.array_compact(F.transform("direct_identifiers_found", lambda x: lookup(V.DIRECT_TIPS, x)))
+    full = r.select("result_id", "score", F.coalesce("rating", F.lit("none")).alias("rating"), F.coalesce("population_match_estimate", F.lit(V.NO_POPULATION)).alias("population"), "direct_identifiers_found", tips.alias("recommendations"))
+    return full.select("result_id", reports.record_lines(F.col("result_id")).alias("line"))
 
 
 def recommendation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +287,7 @@ _NAMES = (
     "detect_email detect_phone_nanp detect_phone detect_personal_number detect_ssn detect_address detect_birth_date detect_age detect_gender detect_occupation detect_employer detect_marital_status detect_postcode "
     "detect_condition detect_ethnicity detect_religion detect_orientation detect_name attributes_long direct_leak_rating rating_histogram redact_regex redact_capitalised score_texts risk_summary fail_above score_ratings "
     "compare_before_after normalise_values occupation_snake nationality_words age_bucket clean_sources dedupe_attributes parse_json_items build_cross_tab build_counters population_match known_population_values k_anonymity "
-    "class_histogram small_class_flag similarity_pairs correct_guesses bleu_redacted benchmark_entries benchmark_summary benchmark_recall direct_identifiers report_lines recommendation_counts"
+    "class_histogram small_class_flag similarity_pairs correct_guesses bleu_redacted bleu_documents benchmark_entries benchmark_summary benchmark_recall direct_identifiers report_lines recommendation_counts"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -349,9 +371,7 @@ SQL = {
     "k_anonymity": f"SELECT row_id, class_size, round(1.0 / class_size, 6) AS kappa FROM ({_K})",
     "class_histogram": f"SELECT class_size, count(*) AS n_rows FROM ({_K}) GROUP BY class_size",
     "small_class_flag": f"SELECT row_id, class_size <= {V.SMALL_GROUP} AS small FROM ({_K})",
-    "similarity_pairs": "SELECT ref_id, label, round(jaro_similarity(canonical_value, lower(label)), 6) AS jaro FROM (SELECT ref_id, canonical_value, unnest(alt_labels) AS label FROM canonical_values) WHERE regexp_full_match(label, '[\\x20-\\x7e]+')",
     "direct_identifiers": "SELECT c_custkey, printf('%03d-%02d-%04d', 200 + c_custkey % 700, 10 + c_custkey % 90, 1000 + c_custkey * 17 % 9000) AS ssn, substr('4' || lpad(CAST(c_custkey + 12345678901234 AS VARCHAR), 15, '0'), 1, 16) AS credit_card, '(415) ' || CAST(200 + c_custkey % 700 AS VARCHAR) || '-' || CAST(1000 + c_custkey % 9000 AS VARCHAR) AS phone_number, CAST(100 + c_custkey AS VARCHAR) || ' Market Street, California' AS address FROM customer",
-    "report_lines": "SELECT result_id, printf('Record %d: score %.3f (%s)', result_id, CAST(round(CAST(score AS DECIMAL(12, 6)), 3) AS DOUBLE), coalesce(rating, 'none')) AS line FROM score_results",
 }
 
 _NIN = _first(V.NIN)
@@ -359,10 +379,91 @@ _EMPLOYER = _first(V.EMPLOYER, 1)
 _TIPS = {**V.DIRECT_TIPS, **V.QUASI_TIPS, **V.CONTEXTUAL_TIPS}
 SQL |= {
     "detect_personal_number": _found(f"coalesce({_SSN}, {_NIN})"),
-    "detect_employer": _found(f"trim({_EMPLOYER})"),
     "recommendation_counts": f"""
 WITH a AS (SELECT DISTINCT result_id, attribute FROM inferred_attributes WHERE lower(coalesce(inferred_value, 'unknown')) <> 'unknown'),
 t AS (SELECT CASE attribute {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TIPS.items())} END AS tip FROM a JOIN score_results USING (result_id) WHERE score >= 0.3 OR attribute NOT IN ({', '.join(f"'{k}'" for k in V.CONTEXTUAL_TIPS)})
 UNION ALL SELECT '{V.SECOND_PASS_TIP}' FROM (SELECT DISTINCT result_id FROM inferred_attributes) JOIN score_results USING (result_id) WHERE score >= 0.7)
 SELECT tip, count(*) AS n FROM t WHERE tip IS NOT NULL GROUP BY tip""",
 }
+
+_CASES = ", ".join(f"({i}, {_q(t)})" for i, t in CASES)
+_BOTH = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_CASES}) AS c(doc_id, text))"
+
+
+def _found_in_both(expression: str) -> str:
+    return f"SELECT doc_id, value FROM (SELECT doc_id, {expression} AS value FROM {_BOTH}) WHERE value IS NOT NULL"
+
+
+# RE2 has no look-around: what must not stand beside a match is taken along and left out of the group
+_UK_PHONE = _first(f"(?:^|[^0-9])({V.PHONE_UK.removeprefix('(?<!' + chr(92) + 'd)').removesuffix('(?!' + chr(92) + 'd)')})(?:[^0-9]|$)", 1)
+_ZIP_STATE = _first(detect.ZIP_STATE.removesuffix(r"(?!\d)") + "(?:[^0-9]|$)", 1)
+_ZIP_LABEL = _first(V.ZIP_LABEL.removesuffix(r"(?!\d)") + "(?:[^0-9]|$)", 1)
+_PLAIN_DATE = V.DATE.removesuffix(r"(?!\d))")
+_CUE = r"(?:(?i:\b(?:born|d\.?\s?o\.?\s?b|date\s+of\s+birth|birth\s*date|birthday))(?:\.|[^A-Za-z;!?\n.]|\b)|(?:^|[^\w.])b\.\s)"
+_BIRTH = _first(rf"(?s){_CUE}(?:[^;!?\n.]|\.[^\s;!?\n]){{0,29}}?({_PLAIN_DATE}))(?:[^0-9]|$)", 1)
+_STRIPPED = lambda c: f"regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_ENDS = _q(V.SURROUNDING)
+
+
+def _cleaned(c: str) -> str:
+    """`clean_value` as SQL."""
+    t = _STRIPPED(c)
+    core = f"trim({t}, {_ENDS})"
+    key = f"trim(regexp_replace(lower({core}), '[\\s_-]+', ' ', 'g'))"
+    marks = ", ".join(_q(m) for m in V.PLACEHOLDERS)
+    masked = f"(regexp_matches({t}, '\\A[xX*#•\\s\\-./()]+\\z') AND NOT regexp_matches({t}, '(?:^|[^xX])[xX](?:[^xX]|$)') AND regexp_matches({t}, '[xX*#•]'))"
+    bracketed = f"regexp_matches({core}, '\\A(?:\\[+[^\\[\\]]*\\]+|<+[^<>]*>+|\\{{+[^{{}}]*\\}}+)\\z')"
+    return f"CASE WHEN {c} IS NULL OR {key} IN ({marks}) OR regexp_matches({key}, {_q(V.NOT_GIVEN)}) OR regexp_matches({key}, '^redacted( |$)|(^| )redacted$') OR {bracketed} OR {masked} THEN 'unknown' ELSE {t} END"
+
+
+def _words(words: dict[str, str], key: str, otherwise: str) -> str:
+    return f"coalesce(CASE {key} {' '.join(f'WHEN {_q(k)} THEN {_q(v)}' for k, v in words.items())} END, {otherwise})"
+
+
+_V = "v"
+_LOWV = f"lower({_STRIPPED(_V)})"
+_PHRASE = f"regexp_replace(trim(regexp_replace(regexp_replace(lower({_V}), '\\([^()]*\\)', ' ', 'g'), '[\\s_-]+', ' ', 'g'), {_ENDS}), '^(?:a|an|the)\\s+', '')"
+_SNAKE = f"trim(regexp_replace({_PHRASE}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '_', 'g'), '_')"
+_NATION = f"regexp_replace(replace({_PHRASE}, '.', ''), '\\s+(?:citizen|national)$', '')"
+_AREA = f"CASE WHEN regexp_matches({_STRIPPED(_V)}, '^([A-Za-z]{{1,2}})\\d[A-Za-z\\d]?(?:\\s*\\d[A-Za-z]{{2}})?$') THEN regexp_extract({_STRIPPED(_V)}, '^([A-Za-z]{{1,2}})', 1) WHEN regexp_matches({_STRIPPED(_V)}, '^\\d{{5}}(?:-\\d{{4}})?$') THEN substr({_STRIPPED(_V)}, 1, 5) ELSE {_STRIPPED(_V)} END"
+_AGE_WORDS = f"list_filter(string_split_regex({_STRIPPED(f'regexp_replace(regexp_replace(lower({_V}), {_q(r'\([^()]*\)')}, {_q(' ')}, {_q('g')}), {_q('[-–—,]')}, {_q(' ')}, {_q('g')})')}, '[\\s\\p{{Z}}]+'), lambda w: w <> '' AND w NOT IN ({', '.join(_q(w) for w in V.AGE_FILLER)}))"
+_DECADE = (
+    "CASE WHEN regexp_matches(w, '^~?\\d{1,3}(?:yo|y/o|yrs?|years?)?$') THEN (CASE WHEN CAST(regexp_extract(w, '(\\d{1,3})', 1) AS INT) <= 120 THEN CAST(regexp_extract(w, '(\\d{1,3})', 1) AS INT) // 10 END) "
+    f"WHEN regexp_matches(w, '^[1-9]0''?s$') THEN CAST(substr(w, 1, 1) AS INT) ELSE CASE w {' '.join(f'WHEN {_q(k)} THEN {v}' for k, v in V.DECADE_WORDS.items())} END END"
+)
+_AGES = f"list_transform({_AGE_WORDS}, lambda w: {_DECADE})"
+_AGE_VALUE = f"(SELECT CASE WHEN len(d) = 0 OR list_contains(list_transform(d, lambda x: x IS NULL), true) THEN {_V} WHEN len(list_distinct(d)) > 1 THEN 'unknown' ELSE CAST(d[1] * 10 AS VARCHAR) || '-' || CAST(d[1] * 10 + 9 AS VARCHAR) END FROM (SELECT {_AGES} AS d))"
+_QUASI = (
+    f"CASE WHEN v = 'unknown' THEN v ELSE coalesce(nullif(CASE attribute WHEN 'age_range' THEN {_AGE_VALUE} WHEN 'gender' THEN {_words(V.GENDER_WORDS, _PHRASE, _LOWV)} WHEN 'nationality' THEN {_words(V.NATIONALITY_WORDS, _NATION, _LOWV)} "
+    f"WHEN 'marital_status' THEN {_words(V.MARITAL_WORDS, _PHRASE, _LOWV)} WHEN 'ethnicity' THEN {_words(V.ETHNICITY_WORDS, _PHRASE, _LOWV)} WHEN 'occupation' THEN {_words(V.OCCUPATION_WORDS, _SNAKE, _SNAKE)} WHEN 'postcode_district' THEN {_AREA} ELSE v END, ''), 'unknown') END"
+)
+# DuckDB's Jaro goes by bytes; the entries are ASCII, so any other character is one that equals none of theirs
+_ASCII = lambda c: f"regexp_replace({c}, '[^\\x00-\\x7f]', chr(1), 'g')"
+_SPACED = f"regexp_replace({_STRIPPED('lower(inferred_value)')}, '[\\s\\p{{Z}}]+', ' ', 'g')"
+_TIP = "CASE x " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in V.DIRECT_TIPS.items()) + " END"
+SQL |= {
+    "detect_phone": _found(f"coalesce({_NANP}, {_UK_PHONE})"),
+    "detect_employer": _found_in_both(f"trim({_EMPLOYER})"),
+    "detect_postcode": _found_in_both(f"coalesce({_first(V.POSTCODE_UK, 1)}, {_ZIP_STATE}, {_ZIP_LABEL})"),
+    "detect_birth_date": _found_in_both(_BIRTH),
+    "clean_sources": f"SELECT doc_id, {_cleaned('source')} AS source FROM documents",
+    "normalise_values": f"SELECT attr_id, attribute, CASE WHEN lower(category) = 'quasi' THEN {_QUASI} ELSE v END AS value FROM (SELECT attr_id, attribute, category, {_cleaned('inferred_value')} AS v FROM inferred_attributes)",
+    "similarity_pairs": f"SELECT ref_id, label, round(jaro_similarity({_ASCII('canonical_value')}, {_ASCII('lower(label)')}), 6) AS jaro FROM (SELECT ref_id, canonical_value, unnest(alt_labels) AS label FROM canonical_values) WHERE label IS NOT NULL",
+    "correct_guesses": f"""
+WITH typed AS (SELECT DISTINCT lower(inferred_value) AS value, {_ASCII(_SPACED)} AS c FROM inferred_attributes WHERE attribute = 'occupation' AND inferred_value IS NOT NULL),
+entries AS (SELECT ref_id, replace(canonical_value, '_', ' ') AS e FROM canonical_values WHERE attribute = 'occupation'),
+pairs AS (SELECT value, ref_id, j + 0.1 * p * (1 - j) AS s FROM (SELECT value, ref_id, jaro_similarity(e, c) AS j, CASE WHEN substr(e, 1, 4) = substr(c, 1, 4) AND length(e) >= 4 AND length(c) >= 4 THEN 4 WHEN substr(e, 1, 3) = substr(c, 1, 3) AND length(e) >= 3 AND length(c) >= 3 THEN 3 WHEN substr(e, 1, 2) = substr(c, 1, 2) AND length(e) >= 2 AND length(c) >= 2 THEN 2 WHEN substr(e, 1, 1) = substr(c, 1, 1) AND length(c) >= 1 THEN 1 ELSE 0 END AS p FROM typed, entries))
+SELECT value, arg_max(ref_id, (round(s, 12), -ref_id)) AS ref_id FROM pairs WHERE s >= {V.MATCH_THRESHOLD['occupation']} GROUP BY value""",
+    "report_lines": f"""
+SELECT result_id, printf('Record %d: score %.3f (%s), population %d, direct identifiers: ', result_id, CAST(round(CAST(score AS DECIMAL(12, 6)), 3) AS DOUBLE), coalesce(rating, 'none'), coalesce(population_match_estimate, {V.NO_POPULATION})) || coalesce(nullif(array_to_string(d, ', '), ''), 'none') || CASE WHEN len(tips) > 0 THEN chr(10) || array_to_string(list_transform(tips[1:3], lambda t: '  - ' || t), chr(10)) ELSE '' END AS line
+FROM (SELECT *, list_filter(list_transform(d, lambda x: {_TIP}), lambda t: t IS NOT NULL) AS tips FROM (SELECT result_id, score, rating, population_match_estimate, coalesce(direct_identifiers_found, []) AS d FROM score_results))""",
+}
+
+_SPLIT = lambda c: f"list_filter(string_split_regex({_STRIPPED(c)}, '[\\s\\p{{Z}}]+'), lambda w: w <> '')"
+_GRAMS = lambda side: f"SELECT doc_id, n, array_to_string({side}[i:i + n - 1], chr(31)) AS g, count(*) AS k FROM (SELECT doc_id, n, {side}, unnest(generate_series(1, len({side}) - n + 1)) AS i FROM t, n) GROUP BY ALL"
+SQL["bleu_documents"] = f"""
+WITH t AS (SELECT doc_id, text IS NULL AS none, {_SPLIT('text')} AS r, {_SPLIT('after')} AS c FROM (SELECT doc_id, text, {_REDACT} AS after FROM documents)),
+n AS (SELECT unnest([1, 2, 3, 4]) AS n), rg AS ({_GRAMS('r')}), cg AS ({_GRAMS('c')}),
+shared AS (SELECT doc_id, n, sum(least(rg.k, cg.k)) AS o FROM rg JOIN cg USING (doc_id, n, g) GROUP BY ALL),
+logs AS (SELECT doc_id, sum(ln((coalesce(o, 0) + 1) / (greatest(1, len(c) - n + 1) + 1))) AS s FROM t CROSS JOIN n LEFT JOIN shared USING (doc_id, n) GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN none THEN NULL WHEN len(r) = 0 OR len(c) = 0 THEN 0 ELSE exp(CASE WHEN len(c) > len(r) THEN 0 ELSE 1 - len(r) / len(c) END + s / 4) END, 6) AS bleu FROM t JOIN logs USING (doc_id)"""

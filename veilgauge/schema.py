@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -27,5 +27,5 @@ class Settings:
     geography: str = "US"
     confidence_threshold: float = CONFIDENCE_THRESHOLD
     attacker: str = "rule_based"
+    model: str | None = None
     strict: bool = False
-    extra: dict[str, str] = field(default_factory=dict)

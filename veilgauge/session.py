@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests, a single machine) a temporary
-    folder of this machine is taken instead.
+    Only where the session names none and runs in one process (local mode, as
+    in tests) a temporary folder is taken instead, removed at the end; a
+    cluster without a shared folder is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not os.environ.get("VEILGAUGE_SHARED"):
-        os.environ["VEILGAUGE_SHARED"] = tempfile.mkdtemp(prefix="veilgauge-")
-    return f"file://{os.environ['VEILGAUGE_SHARED']}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="veilgauge-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
+
+
+_LOCAL: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,7 +65,6 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application."""
-    import shutil
     from pathlib import Path
 
     context = spark.sparkContext

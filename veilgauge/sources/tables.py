@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from veilgauge.functions import vocabulary as V
 from veilgauge.functions.missing import strip
 from veilgauge.operators import population
+from veilgauge.registry import Registry
+from veilgauge.session import shared_dir
 
 
 def text_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -36,24 +40,18 @@ def population_csv(spark: SparkSession, path: str, geo: str | None = None) -> Da
 
 
 def population_sqlite(spark: SparkSession, path: str, geo: str | None = None, batch: int = 100_000) -> DataFrame:
-    """The table cross_tab of an SQLite file, read on the driver in blocks; every failure is a ValueError."""
+    """The table cross_tab of an SQLite file, read in blocks through the driver; every failure is a ValueError."""
+    wanted = ["geography", *V.POPULATION_COLUMNS, "count"]
     try:
         with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as conn:
             names = [r[1] for r in conn.execute("PRAGMA table_info(cross_tab)")]
-            wanted = ["geography", *V.POPULATION_COLUMNS, "count"]
             missing = [c for c in wanted if c not in names]
             if missing:
                 raise ValueError(f"the population file lacks {', '.join(missing)}")
-            parts = []
-            cursor = conn.execute(f"SELECT {', '.join(wanted)} FROM cross_tab")
-            while rows := cursor.fetchmany(batch):
-                parts.append(spark.createDataFrame(rows, population.POPULATION))
+            schema = ", ".join([*[f"{c} string" for c in wanted[:-1]], "count bigint"])
+            return population.checked(_in_blocks(spark, conn.execute(f"SELECT {', '.join(wanted)} FROM cross_tab"), schema, batch), geo)
     except sqlite3.Error as e:
         raise ValueError(f"the population file can't be read: {e}") from e
-    out = spark.createDataFrame([], population.POPULATION)
-    for p in parts:
-        out = out.unionByName(p)
-    return population.checked(out, geo)
 
 
 def metadata(table: DataFrame) -> DataFrame:
@@ -88,6 +86,38 @@ def benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
     return benchmark_rows(spark.read.csv(path, header=True, mode="FAILFAST"))
 
 
+def benchmark_sqlite(spark: SparkSession, path: str, table: str = "population") -> DataFrame:
+    """Benchmark rows from a table of an SQLite file opened read-only; only the nine columns are read.
+
+    Rows go through the driver in blocks to a Parquet table in the shared
+    folder, so neither the plan nor the driver grows with them.
+    """
+    if not re.fullmatch(r"[A-Za-z_]\w*", table):
+        raise ValueError(f"{table!r} is no name of a table")
+    try:
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as source:
+            cursor = source.execute(f"SELECT {', '.join(V.BENCH_INDIRECT)} FROM {table}")  # noqa: S608  the name is checked
+            return benchmark_rows(_in_blocks(spark, cursor, ", ".join(f"{c} string" for c in V.BENCH_INDIRECT)))
+    except sqlite3.Error as e:
+        raise ValueError(f"{path} cannot be read: {e}") from e
+
+
+def _in_blocks(spark: SparkSession, cursor, schema: str, block: int = 100_000) -> DataFrame:
+    """The rows of a database cursor, written to the shared folder a block at a time and read from there."""
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    kinds = [x.rsplit(" ", 1)[1] for x in schema.split(", ")]
+    while True:
+        rows = cursor.fetchmany(block)
+        own = [tuple(None if v is None else str(v) if k == "string" else v for v, k in zip(r, kinds)) for r in rows]
+        spark.createDataFrame(own, schema).write.mode("append").parquet(path)
+        if len(rows) < block:
+            return spark.read.schema(schema).parquet(path)
+
+
+#: Sources of benchmark records by name, functions of a session and what they need.
+BENCHMARK_SOURCES: Registry = Registry("source of benchmark records")
+
+
 def benchmark_records(spark: SparkSession, records: list[dict[str, str]]) -> DataFrame:
     if not records:
         raise ValueError("no records")
@@ -105,3 +135,7 @@ def as_json(results: DataFrame) -> DataFrame:
 def write_population(cells: DataFrame, path: str, overwrite: bool = False) -> None:
     """Parquet by geography; an existing path is an error unless `overwrite`."""
     cells.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("geography").parquet(path)
+
+
+for _name, _source in (("csv", benchmark_csv), ("sqlite", benchmark_sqlite), ("records", benchmark_records)):
+    BENCHMARK_SOURCES.register(_name, _source)
